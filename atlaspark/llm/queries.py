@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from atlaspark.llm import fingerprint, url_filter
+from atlaspark.llm import chat, fingerprint, url_filter
 
 QUERIES = {
     "op6_document_fingerprints": fingerprint.op6_document_fingerprints,
+    "op7_chat_formatting": chat.op7_chat_formatting,
     "op10_url_filters": url_filter.op10_url_filters,
 }
 
 ORACLE = {
+    "op7_chat_formatting": chat.ORACLE,
     "op10_url_filters": url_filter.ORACLE,
 }
