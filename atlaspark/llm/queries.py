@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from atlaspark.llm import chat, fingerprint, url_filter
+from atlaspark.llm import chat, fingerprint, packing, url_filter
 
 QUERIES = {
+    "op3_packing": packing.op3_packing,
     "op6_document_fingerprints": fingerprint.op6_document_fingerprints,
     "op7_chat_formatting": chat.op7_chat_formatting,
     "op10_url_filters": url_filter.op10_url_filters,
