@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from atlaspark.llm import chat, fingerprint, packing, url_filter
+from atlaspark.llm import chat, decontam, fingerprint, packing, url_filter
 
 QUERIES = {
+    "op1_benchmark_decontamination": decontam.op1_benchmark_decontamination,
     "op3_packing": packing.op3_packing,
     "op6_document_fingerprints": fingerprint.op6_document_fingerprints,
     "op7_chat_formatting": chat.op7_chat_formatting,
@@ -12,6 +13,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op1_benchmark_decontamination": decontam.ORACLE,
     "op7_chat_formatting": chat.ORACLE,
     "op10_url_filters": url_filter.ORACLE,
 }
