@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from atlaspark.llm import chat, decontam, fingerprint, packing, url_filter
+from atlaspark.llm import chat, decontam, fingerprint, packing, pii, quality, url_filter
 
 QUERIES = {
     "op1_benchmark_decontamination": decontam.op1_benchmark_decontamination,
+    "op2_pii": pii.op2_pii,
     "op3_packing": packing.op3_packing,
     "op6_document_fingerprints": fingerprint.op6_document_fingerprints,
     "op7_chat_formatting": chat.op7_chat_formatting,
+    "op8_quality_classifier": quality.op8_quality_classifier,
     "op10_url_filters": url_filter.op10_url_filters,
 }
 
