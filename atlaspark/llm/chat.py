@@ -69,9 +69,10 @@ def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     leaves = step.where("up is null").join(parents, "id", "left_anti")
     rank = F.row_number().over(Window.partitionBy("root").orderBy(F.desc("score"), "id"))
     paths = leaves.withColumn("rank", rank).where(F.col("rank") <= branches).select(F.col("id").alias("leaf"), "root", "id", "depth")
-    for k in reversed(range(len(jumps))):
-        up = paths.join(jumps[k], "id").select("leaf", "root", F.col("up").alias("id"), (F.col("depth") - 2**k).alias("depth"))
-        paths = paths.unionByName(up)
+    for k in reversed(range(len(jumps))):  # the plan names paths once a round, so it grows with the rounds only
+        here = F.struct("id", "depth")
+        above = F.when(F.col("up").isNotNull(), F.struct(F.col("up").alias("id"), (F.col("depth") - 2**k).alias("depth")))
+        paths = paths.join(jumps[k], "id", "left").select("leaf", "root", F.inline(F.array_compact(F.array(here, above))))
     return paths
 
 
