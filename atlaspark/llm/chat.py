@@ -42,38 +42,45 @@ def unescape(c: Column, marks=ESCAPES) -> Column:
 
 
 def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
-    """(id, parent, score) to (leaf, root, id, depth): the `branches` best root-to-leaf paths of each root, score ties by leaf id."""
-    nodes = messages.groupBy("id").agg(F.min(F.struct("parent", "score")).alias("m")).select("id", "m.*")
-    known = nodes.select(F.col("id").alias("known"))
-    nodes = nodes.join(known, F.col("parent") == F.col("known"), "left").select("id", F.col("known").alias("up"), F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))
+    """(id, parent, score) to (leaf, root, id, depth): the `branches` best root-to-leaf paths of each root, score ties by leaf id.
+
+    A round joins only the messages that have not met their root yet, so short
+    trees leave early and rounds grow with the logarithm of the deepest.
+    """
+    nodes = messages.groupBy("id").agg(F.min(F.struct("parent", "score")).alias("m")).select("id", "m.parent", F.coalesce("m.score", F.lit(0.0)).cast("double").alias("score"))
+    known = nodes.select(F.col("id").alias("up"))
+    replies = nodes.where("parent is not null").join(known, F.col("parent") == F.col("up"), "left")
+    nodes = replies.select("id", "up", "score").unionByName(nodes.where("parent is null").select("id", F.lit(None).cast("string").alias("up"), "score"))
     step = materialise(nodes.select("id", "up", F.lit(0).cast("long").alias("depth"), "score", F.col("id").alias("root")), "tree")
     rounds = max(1, step.count()).bit_length()
-    jumps = []
-    for _ in range(rounds):
-        if step.where("up is not null").isEmpty():
+    ended, jumps = step.where("up is null"), []
+    for k in range(rounds):
+        open_ = step.where("up is not null")
+        if open_.isEmpty():
             break
-        k = len(jumps)
-        jumps.append(step.select("id", "up").where("up is not null"))
-        above = step.select(F.col("id").alias("a_id"), F.col("up").alias("a_up"), F.col("depth").alias("a_depth"), F.col("score").alias("a_score"), F.col("root").alias("a_root"))
+        jumps.append(open_.select("id", "up"))
+        every = ended.unionByName(open_).select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("above"), F.col("score").alias("more"), F.col("root").alias("top"))
         step = materialise(
-            step.join(above, F.col("up") == F.col("a_id"), "left").select(
+            open_.join(every, "up").select(
                 "id",
-                F.col("a_up").alias("up"),
-                (F.col("depth") + F.when(F.col("up").isNull(), 0).otherwise(2**k) + F.coalesce(F.when(F.col("a_up").isNull(), F.col("a_depth")), F.lit(0))).alias("depth"),
-                (F.col("score") + F.coalesce("a_score", F.lit(0.0))).alias("score"),
-                F.coalesce("a_root", "root").alias("root"),
+                F.col("next").alias("up"),
+                F.when(F.col("next").isNull(), F.col("above") + 2**k).otherwise(0).alias("depth"),
+                (F.col("score") + F.col("more")).alias("score"),
+                F.col("top").alias("root"),
             ),
             "tree",
         )
-    parents = jumps[0].select(F.col("up").alias("id")).distinct() if jumps else step.limit(0).select("id")
-    leaves = step.where("up is null").join(parents, "id", "left_anti")
+        ended = ended.unionByName(step.where("up is null"))
+    leaves = ended.join(jumps[0].select(F.col("up").alias("id")).distinct(), "id", "left_anti") if jumps else ended
     rank = F.row_number().over(Window.partitionBy("root").orderBy(F.desc("score"), "id"))
-    paths = leaves.withColumn("rank", rank).where(F.col("rank") <= branches).select(F.col("id").alias("leaf"), "root", "id", "depth")
-    for k in reversed(range(len(jumps))):  # the plan names paths once a round, so it grows with the rounds only
+    chosen = materialise(leaves.withColumn("rank", rank).where(F.col("rank") <= branches).select(F.col("id").alias("leaf"), "root", "id", "depth"), "leaves")
+    paths = chosen.limit(0)
+    for k in reversed(range(len(jumps))):  # a path enters at its own length; the plan names paths once a round
+        paths = paths.unionByName(chosen.where((F.col("depth") >= 2**k) & (F.col("depth") < 2 ** (k + 1))))
         here = F.struct("id", "depth")
         above = F.when(F.col("up").isNotNull(), F.struct(F.col("up").alias("id"), (F.col("depth") - 2**k).alias("depth")))
         paths = paths.join(jumps[k], "id", "left").select("leaf", "root", F.inline(F.array_compact(F.array(here, above))))
-    return paths
+    return paths.unionByName(chosen.where("depth = 0").select("leaf", "root", "id", "depth"))
 
 
 def format_paths(paths: DataFrame, texts: DataFrame, keep: list[str]) -> DataFrame:
