@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from atlaspark.llm import chat, decontam, fingerprint, packing, pii, quality, url_filter
+from atlaspark.llm import chat, decontam, fingerprint, near_dup, packing, pii, quality, url_filter
 
 QUERIES = {
     "op1_benchmark_decontamination": decontam.op1_benchmark_decontamination,
     "op2_pii": pii.op2_pii,
     "op3_packing": packing.op3_packing,
+    "op4_minhash_near_dedup": near_dup.op4_minhash_near_dedup,
     "op6_document_fingerprints": fingerprint.op6_document_fingerprints,
     "op7_chat_formatting": chat.op7_chat_formatting,
     "op8_quality_classifier": quality.op8_quality_classifier,
@@ -16,6 +17,7 @@ QUERIES = {
 
 ORACLE = {
     "op1_benchmark_decontamination": decontam.ORACLE,
+    "op4_minhash_near_dedup": near_dup.ORACLE,
     "op7_chat_formatting": chat.ORACLE,
     "op10_url_filters": url_filter.ORACLE,
 }
