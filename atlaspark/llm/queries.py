@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from atlaspark.llm import chat, decontam, fingerprint, near_dup, packing, pii, quality, url_filter
+from atlaspark.llm import chat, decontam, fingerprint, lines, near_dup, packing, pii, quality, url_filter
 
 QUERIES = {
     "op1_benchmark_decontamination": decontam.op1_benchmark_decontamination,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_document_fingerprints": fingerprint.op6_document_fingerprints,
     "op7_chat_formatting": chat.op7_chat_formatting,
     "op8_quality_classifier": quality.op8_quality_classifier,
+    "op9_line_dedup": lines.op9_line_dedup,
     "op10_url_filters": url_filter.op10_url_filters,
 }
 
