@@ -140,15 +140,15 @@ def run_length(a: Column, b: Column, most: int = SIDE) -> Column:
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, items (sorted strings), spans (start, end of hit words, merged in no way)."""
+    """doc_id, n_words, n_hit, items (sorted strings), spans (start and end of hit runs of words), doc_hash (xxhash64 of the text)."""
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
     grams = hit_table(items, "item_id", [], whole=True).select("item_id", F.inline("hits")).dropDuplicates(["item_id", "hash", "gram", "left", "right", "words"])
     grams = materialise(grams.drop("pos"), "benchmark-grams")
     short = sorted(r[0] for r in grams.where(f"gram < {SPAN}").select("gram").distinct().collect())
     bitmap = docs.sparkSession.sparkContext.broadcast(make_bitmap(grams))
 
-    keyed = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    both = keyed.select(F.struct("row", "doc_id").alias("doc"), "text")
+    doc = F.struct(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("doc_hash"))
+    both = docs.select(doc.alias("doc"), "text")
     found = hit_table(both, "doc", short, whole=False, bitmap=bitmap)
     # Rows without hits keep a key of their own, which meets nothing, so one pass over the texts serves all.
     rows = found.select("doc", "n_words", F.explode_outer("hits").alias("hit")).select(
@@ -177,7 +177,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")),
         lambda a, x: F.struct(F.greatest(a["end"], x["end"]).alias("end"), (a["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(a["end"], x["start"]))).alias("n")),
     )
-    return out.select("doc.doc_id", "n_words", covered["n"].cast("long").alias("n_hit"), "items", "spans")
+    return out.select("doc.doc_id", "n_words", covered["n"].cast("long").alias("n_hit"), "items", "spans", "doc.doc_hash")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, least_items: int = 2) -> DataFrame:
@@ -186,6 +186,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least_items: int = 2) -
     return find_hits(docs, benchmark).select("doc_id", "n_words", "n_hit", n.alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (n >= least_items).alias("contaminated"))
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least_items: int = 1) -> DataFrame:
+    """docs without those that hold windows of at least `least_items` items."""
+    bad = find_hits(docs, benchmark).where(F.size("items") >= least_items).select(F.coalesce("doc_id", F.lit(0)).alias("k0"), F.col("doc_id").isNull().alias("k1"), F.col("doc_hash").alias("k2"))
+    bad = materialise(bad.distinct(), "contaminated")
+    d = docs.alias("d")
+    same = (F.coalesce(F.col("d.doc_id").cast("long"), F.lit(0)) == F.col("k0")) & (F.col("d.doc_id").isNull() == F.col("k1")) & (F.xxhash64("d.text") == F.col("k2"))
+    return d.join(bad, same, "left_anti")
+
+
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 

@@ -27,7 +27,7 @@ give empty results; only doc_id and text are read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from atlaspark.llm.common import materialise, table
@@ -40,7 +40,7 @@ MARGIN = 0.2  # estimates this far below the level are not verified
 SIGNATURE = 16  # 64-bit words in a set signature
 MAP_BITS = 1 << 24
 
-SKETCH = "id binary, doc_id long, n_shingles long, signature array<long>, registers binary, bands array<long>"
+SKETCH = "id binary, doc_id long, doc_hash long, n_shingles long, signature array<long>, registers binary, bands array<long>"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -139,7 +139,7 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
         sketcher = Sketcher()
         for batch in batches:
             ids, sizes, marks, registers, bands = [], [], [], [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 words = words_of(text.as_py())
                 s = shingles(words, width)
                 ids.append(class_of(words))
@@ -154,9 +154,9 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
                     bands.append([])
                     marks.append([0] * SIGNATURE)
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), batch.column(0), pa.array(sizes, pa.int64()), pa.array(marks, longs), pa.array(registers, pa.binary()), pa.array(bands, longs)], names=["id", "doc_id", "n_shingles", "signature", "registers", "bands"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), *batch.columns[:2], pa.array(sizes, pa.int64()), pa.array(marks, longs), pa.array(registers, pa.binary()), pa.array(bands, longs)], names=["id", "doc_id", "doc_hash", "n_shingles", "signature", "registers", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SKETCH)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("doc_hash"), "text").mapInArrow(run, SKETCH)
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -223,7 +223,7 @@ def could_link(level: int):
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, level: int = LEVEL) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
+    """One row per document: doc_id, n_shingles, component_id, kept; and doc_hash (xxhash64 of the text) and group, one value per component, null for empty sets."""
     rows = materialise(sketch(docs, width), "sketches")
     order = F.struct(F.col("doc_id").isNull(), "doc_id")
     classes = rows.groupBy("id").agg(F.min_by("doc_id", order).alias("doc_id"), F.max("n_shingles").alias("n_shingles"))
@@ -256,15 +256,30 @@ def near_duplicates(docs: DataFrame, width: int = 5, level: int = LEVEL) -> Data
 
     labelled = classes.join(part, F.col("id") == F.col("node"), "left").select("id", "doc_id", "n_shingles", F.coalesce("label", "id").alias("label"))
     labelled = labelled.select("id", "doc_id", "label", (F.col("n_shingles") > 0).alias("full"))
-    names = labelled.where("full").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    named = materialise(labelled.where("full").join(names, "label").select("id", "component_id"), "components")
-    out = rows.where("n_shingles > 0").join(named, "id").select("doc_id", "n_shingles", "component_id")
-    out = out.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    labelled = materialise(labelled.where("full"), "labelled")
+    names = materialise(labelled.groupBy("label").agg(F.min("doc_id").alias("component_id")), "names")
+    named = materialise(labelled.join(names, "label").select("id", "component_id", F.col("label").alias("group")), "components")
+    out = rows.where("n_shingles > 0").join(named, "id").select("doc_id", "n_shingles", "component_id", "doc_hash", "group")
+    empty = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "doc_hash", F.lit(None).cast("binary").alias("group"))
+    return out.unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def keep_one(docs: DataFrame, width: int = 5, level: int = LEVEL) -> DataFrame:
+    """docs with one document of each component: the least doc_id (rows without one come last), then the least text hash. Documents with an empty set all stay."""
+    marks = materialise(near_duplicates(docs, width, level).select("doc_id", "doc_hash", "group"), "marks")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "doc_hash"))
+    chosen = marks.where("group is not null").groupBy("group").agg(first.alias("first")).select("first.doc_id", "first.doc_hash", F.lit(True).alias("full"))
+    chosen = materialise(chosen.unionByName(marks.where("group is null").select("doc_id", "doc_hash", F.lit(False).alias("full")).distinct()), "chosen")
+    key = [F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), "doc_hash"]
+    chosen = chosen.select(*[c if isinstance(c, str) else c.alias(f"k{i}") for i, c in enumerate(key)], "full").toDF("k0", "k1", "k2", "full")
+    d = docs.alias("d")
+    met = d.join(chosen, (F.coalesce(F.col("d.doc_id").cast("long"), F.lit(0)) == F.col("k0")) & (F.col("d.doc_id").isNull() == F.col("k1")) & (F.xxhash64("d.text") == F.col("k2")))
+    nth = F.row_number().over(Window.partitionBy("k0", "k1", "k2").orderBy("k0"))
+    return met.withColumn("_nth", nth).where("_nth = 1 or not full").select(*[F.col(f"d.`{c}`") for c in docs.columns])
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), width=2)
+    return near_duplicates(table(spark, sf_dir, "documents"), width=2).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 ORACLE = r"""
