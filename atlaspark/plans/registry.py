@@ -2,9 +2,542 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from atlaspark.functions import geo
+from atlaspark.functions.edits import edit_of
+from atlaspark.functions.text import capitalize, tokens
+from atlaspark.operators import boolean, enrich, fence, lm, rank, search, spatial, spell
+from atlaspark.operators import index as ix
+from atlaspark.plans import inputs as i
+from atlaspark.plans.inputs import CIRCLES, CORPUS, PLACES, POSITIONS, REGIONS, STATIONS, STREETS, sql_destination, sql_haversine, sql_lat, sql_lon, sql_project, sql_tokens
+
 QUERIES: dict = {}
 ORACLE: dict = {}
 
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE[name] = sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, places) + 0.0 for c in columns})
+
+
+def the_index(spark: SparkSession, sf_dir: str) -> ix.Index:
+    return ix.build_index(i.corpus(spark, sf_dir))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25f_topk(spark, sf_dir)
+
+
+# --- tokens and postings
+
+
+@query("tokens_count", f"WITH {CORPUS} SELECT doc_id, CAST(len(nw) AS BIGINT) AS n_name, CAST(len(aw) AS BIGINT) AS n_address FROM words")
+def tokens_count(spark, sf_dir):
+    n = lambda c: F.size(tokens(F.col(c))).cast("long")
+    return i.corpus(spark, sf_dir).select("doc_id", n("name").alias("n_name"), n("address").alias("n_address"))
+
+
+@query("tf_postings", f"WITH {CORPUS} SELECT field, term, doc_id, tf FROM post")
+def tf_postings(spark, sf_dir):
+    return the_index(spark, sf_dir).postings.select("field", "term", "doc_id", "tf")
+
+
+@query("df_terms", f"WITH {CORPUS} SELECT term, df FROM df")
+def df_terms(spark, sf_dir):
+    return ix.document_frequency(the_index(spark, sf_dir))
+
+
+@query("field_lengths", f"WITH {CORPUS} SELECT 'name' AS field, doc_id, CAST(len(nw) AS BIGINT) AS len FROM words WHERE name <> '' UNION ALL SELECT 'address', doc_id, len(aw) FROM words WHERE address <> ''")
+def field_lengths(spark, sf_dir):
+    return ix.field_lengths(i.corpus(spark, sf_dir))
+
+
+@query("field_len_avg", f"WITH {CORPUS} SELECT n AS n_docs, round(an, 6) AS avg_name, round(aa, 6) AS avg_address, round(ad, 6) AS avg_doc FROM st")
+def field_len_avg(spark, sf_dir):
+    return rounded(the_index(spark, sf_dir).stats, "avg_name", "avg_address", "avg_doc")
+
+
+@query("vocab_counts", f"WITH {CORPUS} SELECT term, count(*) AS cnt FROM tok GROUP BY term")
+def vocab_counts(spark, sf_dir):
+    return lm.vocabulary(lm.corpus(i.corpus(spark, sf_dir)))
+
+
+# --- ranking
+
+TERMS = f"q AS (SELECT query_id, term, count(*) AS qn FROM (SELECT item_id AS query_id, unnest({sql_tokens('text')}) AS term FROM benchmark) GROUP BY ALL)"
+WIDE = """w AS (SELECT term, doc_id, coalesce(max(tf) FILTER (field = 'name'), 0) AS tn, coalesce(max(tf) FILTER (field = 'address'), 0) AS ta FROM post WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+m AS (SELECT * FROM w JOIN df USING (term) JOIN q USING (term) JOIN words USING (doc_id), st)"""
+FIELD_SCORE = "qn * (log10(n - df + 0.5) - log10(df + 0.5)) * (CASE WHEN tn > 0 THEN (20.0 * tn / (1 + 0.95 * (len(nw) / an - 1))) / (10 + 20.0 * tn / (1 + 0.95 * (len(nw) / an - 1))) ELSE 0 END + CASE WHEN ta > 0 THEN (ta / (1 + 0.95 * (len(aw) / aa - 1))) / (10 + ta / (1 + 0.95 * (len(aw) / aa - 1))) ELSE 0 END)"
+PLUS_SCORE = "(log10(n + 1) - log10(df)) * (1 + (2.2 + tn + ta) / (1.2 * (0.02 + 0.98 * (len(nw) + len(aw)) / ad) + tn + ta))"
+IDF_SCORE = "(1 + log10(tn + ta)) * (log10(n) - log10(df)) * (1 + log10(qn)) * (log10(n) - log10(df))"
+
+
+def ranking_sql(score: str, k: int, offset: int) -> str:
+    return f"""WITH {CORPUS}, {TERMS}, {WIDE}, s AS (SELECT query_id, doc_id, sum({score}) AS score FROM m GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s)
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, name, round(score, 6) + 0.0 AS score FROM r JOIN docs USING (doc_id) WHERE rank > {offset} AND rank <= {offset + k}"""
+
+
+def ranking(spark, sf_dir, ranker, k=10, offset=0):
+    index = the_index(spark, sf_dir)
+    found = rank.top_documents(index, rank.query_terms(i.benchmark_queries(spark, sf_dir)), ranker, k, offset)
+    return rounded(found, "score").select("query_id", "rank", "doc_id", "name", "score")
+
+
+@query("bm25f_topk", ranking_sql(FIELD_SCORE, 10, 0))
+def bm25f_topk(spark, sf_dir):
+    return ranking(spark, sf_dir, "bm25_field")
+
+
+@query("bm25f_page2", ranking_sql(FIELD_SCORE, 10, 10))
+def bm25f_page2(spark, sf_dir):
+    return ranking(spark, sf_dir, "bm25_field", 10, 10)
+
+
+@query("bm25plus_topk", ranking_sql(PLUS_SCORE, 10, 0))
+def bm25plus_topk(spark, sf_dir):
+    return ranking(spark, sf_dir, "bm25_plus")
+
+
+@query("tfidf_topk", ranking_sql(IDF_SCORE, 10, 0))
+def tfidf_topk(spark, sf_dir):
+    return ranking(spark, sf_dir, "tf_idf")
+
+
+# --- boolean retrieval
+
+HAS = "(SELECT doc_id FROM post WHERE field = 'address' AND term = '{}')"
+
+
+@query("bool_and", f"WITH {CORPUS} SELECT doc_id FROM docs WHERE doc_id IN {HAS.format('the')} AND doc_id IN {HAS.format('was')}")
+def bool_and(spark, sf_dir):
+    return boolean.boolean_query(the_index(spark, sf_dir), "the AND was", "address")
+
+
+@query("bool_or", f"WITH {CORPUS} SELECT doc_id FROM docs WHERE doc_id IN {HAS.format('der')} OR doc_id IN {HAS.format('les')}")
+def bool_or(spark, sf_dir):
+    return boolean.boolean_query(the_index(spark, sf_dir), "der OR les", "address")
+
+
+@query("bool_not", f"WITH {CORPUS} SELECT doc_id FROM docs WHERE doc_id NOT IN {HAS.format('the')} AND (doc_id IN {HAS.format('der')} OR doc_id IN {HAS.format('la')})")
+def bool_not(spark, sf_dir):
+    return boolean.boolean_query(the_index(spark, sf_dir), "NOT the AND (der OR la)", "address")
+
+
+@query("posting_intersect_all", f"WITH {CORPUS} SELECT doc_id FROM tok WHERE field = 'address' AND term = 'the' INTERSECT ALL SELECT doc_id FROM tok WHERE field = 'address' AND term = 'of'")
+def posting_intersect_all(spark, sf_dir):
+    index = the_index(spark, sf_dir)
+    return boolean.intersect_postings(boolean.occurrences(index, "the", "address"), boolean.occurrences(index, "of", "address"))
+
+
+@query(
+    "rle_runs",
+    """WITH a AS (SELECT user_id, event_id, event_type, CASE WHEN lag(event_type) OVER w = event_type THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+    b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM a)
+    SELECT user_id, CAST(run AS BIGINT) AS run, event_type, count(*) AS count FROM b GROUP BY ALL""",
+)
+def rle_runs(spark, sf_dir):
+    return ix.run_lengths(i.table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id", "event_type")
+
+
+# --- language model
+
+SEQ = f"seq AS (SELECT doc_id AS id, {sql_tokens('name')} || {sql_tokens('address')} AS words FROM docs)"
+
+
+def grams_sql(n: int, source: str = "seq") -> str:
+    pad = " || ".join(["['<s>']"] * n)
+    return f"SELECT {n} AS n, array_to_string(p[i:i + {n - 1}], ' ') AS gram, count(*) AS cnt FROM (SELECT p, unnest(range(1, len(p) - {n} + 2)) AS i FROM (SELECT {pad} || words || ['</s>'] AS p FROM {source})) GROUP BY ALL"
+
+
+def ngram_query(n: int):
+    def run(spark, sf_dir):
+        return lm.ngram_counts(lm.corpus(i.corpus(spark, sf_dir)), n, [n])
+
+    return run
+
+
+for _n in (1, 2, 3, 4):
+    query(f"ngram{_n}_counts", f"WITH {CORPUS}, {SEQ} {grams_sql(_n)}")(ngram_query(_n))
+
+COUNTS = f"grams AS ({' UNION ALL '.join(grams_sql(n) for n in (1, 2, 3, 4))}), total AS (SELECT sum(cnt) AS total FROM grams WHERE n = 1)"
+BACKOFF = f"""qs AS (SELECT item_id AS id, ['<s>', '<s>', '<s>', '<s>'] || {sql_tokens("text")} || ['</s>'] AS p FROM benchmark),
+win AS (SELECT id, i, array_to_string(p[i:i + 3], ' ') AS g4, array_to_string(p[i:i + 2], ' ') AS x4, array_to_string(p[i + 1:i + 3], ' ') AS g3, array_to_string(p[i + 1:i + 2], ' ') AS x3, array_to_string(p[i + 2:i + 3], ' ') AS g2, p[i + 2] AS x2, p[i + 3] AS g1 FROM (SELECT id, p, unnest(range(2, len(p) - 2)) AS i FROM qs)),
+pr AS (SELECT id, coalesce(nullif(a.cnt / b.cnt::double, 0), nullif(0.4 * c.cnt / d.cnt::double, 0), nullif(0.4 * 0.4 * e.cnt / f.cnt::double, 0), nullif(0.4 * 0.4 * 0.4 * g.cnt / total, 0)) AS p
+  FROM win LEFT JOIN grams a ON a.n = 4 AND a.gram = g4 LEFT JOIN grams b ON b.n = 3 AND b.gram = x4 LEFT JOIN grams c ON c.n = 3 AND c.gram = g3 LEFT JOIN grams d ON d.n = 2 AND d.gram = x3
+  LEFT JOIN grams e ON e.n = 2 AND e.gram = g2 LEFT JOIN grams f ON f.n = 1 AND f.gram = x2 LEFT JOIN grams g ON g.n = 1 AND g.gram = g1, total)"""
+
+
+@query("lm_stupid_backoff", f"WITH {CORPUS}, {SEQ}, {COUNTS}, {BACKOFF} SELECT id, CASE WHEN count(*) = count(p) THEN round(sum(ln(p)), 6) ELSE '-inf'::double END AS logp FROM pr GROUP BY id")
+def lm_stupid_backoff(spark, sf_dir):
+    counts = lm.ngram_counts(lm.corpus(i.corpus(spark, sf_dir)))
+    asked = i.benchmark_queries(spark, sf_dir).select(F.col("query_id").alias("id"), tokens(F.col("text")).alias("words"))
+    return rounded(lm.sequence_log_probability(asked, counts), "logp")
+
+
+# --- spelling
+
+PART_WORDS = f"pw AS (SELECT DISTINCT unnest({sql_tokens('p_name')} || {sql_tokens('p_type')}) AS w FROM part)"
+PAIRS = f"{PART_WORDS}, pairs AS (SELECT a.w AS typo, b.w AS corrected FROM pw a, pw b)"
+FIRST = "(SELECT min(i) FROM range(1, 1 + least(length(typo), length(corrected))) r(i) WHERE typo[i:i] <> corrected[i:i])"
+EDIT_SQL = f"""WITH {PAIRS}, f AS (SELECT *, {FIRST} AS i, length(typo) AS ne, length(corrected) AS no FROM pairs)
+SELECT typo, corrected,
+  CASE WHEN typo = corrected THEN 'none' WHEN ne = no AND list_sort(string_split(typo, '')) = list_sort(string_split(corrected, '')) THEN 'transposition' WHEN ne = no THEN 'substitution' WHEN ne > no THEN 'insertion' ELSE 'deletion' END AS op,
+  CASE WHEN typo = corrected THEN NULL WHEN i IS NOT NULL THEN typo[i:i] ELSE typo[ne:ne] END AS c1,
+  CASE WHEN typo = corrected THEN NULL WHEN ne = no THEN corrected[i:i] WHEN i > 1 THEN corrected[i - 1:i - 1] WHEN i = 1 THEN '-' WHEN ne > no THEN corrected[no:no] WHEN no > 1 THEN corrected[no - 1:no - 1] ELSE '-' END AS c2
+FROM f"""
+
+
+def part_words(spark, sf_dir, name="w"):
+    return i.table(spark, sf_dir, "part").select(F.explode(F.concat(tokens(F.col("p_name")), tokens(F.col("p_type")))).alias(name)).distinct()
+
+
+def word_pairs(spark, sf_dir):
+    """All pairs of the few distinct words of part."""
+    return part_words(spark, sf_dir, "typo").crossJoin(part_words(spark, sf_dir, "corrected"))
+
+
+@query("edit_operations", EDIT_SQL)
+def edit_operations(spark, sf_dir):
+    return word_pairs(spark, sf_dir).withColumn("e", edit_of(F.col("typo"), F.col("corrected"))).select("typo", "corrected", "e.*")
+
+
+def spellings(spark, sf_dir):
+    """Each word of part with three misspellings of it: a letter less, a letter twice, two letters swapped."""
+    w = F.col("correct")
+    wrong = F.array(F.substr(w, F.lit(2)), F.concat(w, F.substring(w, -1, 1)), F.concat(F.substring(w, 2, 1), F.substring(w, 1, 1), F.substr(w, F.lit(3))))
+    return part_words(spark, sf_dir, "correct").withColumn("wrong", wrong)
+
+
+EDITED = f"""{PART_WORDS}, sp AS (SELECT w AS corrected, unnest([w[2:], w || w[-1:], w[2:2] || w[1:1] || w[3:]]) AS typo FROM pw)"""
+CLASSIFIED = EDIT_SQL.split("FROM f", maxsplit=1)[0].split("SELECT typo, corrected,", 1)[1]
+CHANNEL = f"""{EDITED}, sf AS (SELECT *, {FIRST} AS i, length(typo) AS ne, length(corrected) AS no FROM sp), ec AS (SELECT op, c1, c2, count(*) AS n FROM (SELECT {CLASSIFIED} FROM sf) WHERE op <> 'none' GROUP BY ALL),
+uc AS (SELECT c1, count(*) AS n FROM (SELECT unnest(string_split(w, '') || ['-']) AS c1 FROM pw) GROUP BY ALL), al AS (SELECT count(*) AS a FROM uc),
+bc AS (SELECT w[i:i] AS c1, w[i + 1:i + 1] AS c2, count(*) AS n FROM (SELECT w, unnest(range(1, length(w))) AS i FROM pw) GROUP BY ALL)"""
+
+
+@query("char_edit_counts", f"WITH {CHANNEL} SELECT op, c1, c2, n FROM ec")
+def char_edit_counts(spark, sf_dir):
+    return spell.build_channel(spellings(spark, sf_dir)).edit
+
+
+@query("char_bigram_counts", f"WITH {CHANNEL} SELECT c1, c2, n FROM bc")
+def char_bigram_counts(spark, sf_dir):
+    return spell.build_channel(spellings(spark, sf_dir)).bigram
+
+
+@query(
+    "edit_logprob",
+    f"""WITH {CHANNEL}, pairs AS (SELECT a.w AS typo, b.w AS corrected FROM pw a, pw b), f AS (SELECT *, {FIRST} AS i, length(typo) AS ne, length(corrected) AS no FROM pairs),
+    g AS (SELECT typo, corrected, {CLASSIFIED} FROM f)
+    SELECT typo, corrected, round(CASE WHEN g.op = 'none' THEN ln(0.9) ELSE ln(coalesce(ec.n, 0) + 1) - ln(CASE WHEN g.op IN ('insertion', 'substitution') THEN coalesce(uc.n, 0) + a ELSE coalesce(bc.n, 0) + a * a END) END, 6) AS edit_logp
+    FROM g LEFT JOIN ec USING (op, c1, c2) LEFT JOIN uc USING (c1) LEFT JOIN bc ON bc.c1 = g.c1 AND bc.c2 = g.c2, al""",
+)
+def edit_logprob(spark, sf_dir):
+    return rounded(spell.edit_log_probability(word_pairs(spark, sf_dir), spell.build_channel(spellings(spark, sf_dir))), "edit_logp")
+
+
+def misspelt(spark, sf_dir):
+    """Words of part without their last letter."""
+    return part_words(spark, sf_dir).select(F.expr("substring(w, 1, length(w) - 1)").alias("word"))
+
+
+MISSPELT = f"{PART_WORDS}, ms AS (SELECT DISTINCT w[1:length(w) - 1] AS word FROM pw), voc AS (SELECT DISTINCT term FROM tok)"
+
+
+def fuzzy_query(d: int):
+    def run(spark, sf_dir):
+        return spell.fuzzy_candidates(misspelt(spark, sf_dir), ix.dictionary(the_index(spark, sf_dir)), d)
+
+    return run
+
+
+for _d in (1, 2):
+    query(f"fuzzy_candidates_d{_d}", f"WITH {CORPUS}, {MISSPELT} SELECT word, term, CAST(levenshtein(word, term) AS INTEGER) AS distance FROM ms, voc WHERE abs(length(word) - length(term)) <= {_d} AND levenshtein(word, term) <= {_d}")(fuzzy_query(_d))
+
+
+@query("prefix_candidates", f"WITH {CORPUS}, {PART_WORDS}, ms AS (SELECT DISTINCT w[1:2] AS word FROM pw), voc AS (SELECT DISTINCT term FROM tok) SELECT word, term FROM ms, voc WHERE starts_with(term, word)")
+def prefix_candidates(spark, sf_dir):
+    starts = part_words(spark, sf_dir).select(F.substring("w", 1, 2).alias("word"))
+    return spell.prefix_candidates(starts, ix.dictionary(the_index(spark, sf_dir)))
+
+
+def typed_queries(spark, sf_dir):
+    """Every distinct part name with its first word's last letter gone."""
+    return i.table(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("query_id")).select("query_id", F.regexp_replace("p_name", r"^(\w+)\w ", "$1 ").alias("text"))
+
+
+def shop_model(spark, sf_dir):
+    index = ix.build_index(i.shop(spark, sf_dir))
+    return index, search.language_model(index), spell.build_channel(spellings(spark, sf_dir))
+
+
+@query("spell_correct")
+def spell_correct(spark, sf_dir):
+    found = search.corrected_queries(typed_queries(spark, sf_dir), *shop_model(spark, sf_dir))
+    return rounded(found.select("query_id", F.array_join("words", " ").alias("corrected"), "logp"), "logp")
+
+
+@query("search_e2e")
+def search_e2e(spark, sf_dir):
+    return rounded(search.search(typed_queries(spark, sf_dir), *shop_model(spark, sf_dir)), "score").select("query_id", "rank", "doc_id", "name", "score")
+
+
+@query("autocomplete_e2e")
+def autocomplete_e2e(spark, sf_dir):
+    return rounded(search.autocomplete(typed_queries(spark, sf_dir), *shop_model(spark, sf_dir)), "score").select("query_id", "rank", "doc_id", "place", "name", "score")
+
+
+# --- geometry
+
+CUSTOMER_NATION = f"cn AS (SELECT c_custkey, n_nationkey, {sql_lat('c_custkey')} AS lat, {sql_lon('c_custkey')} AS lon, {sql_lat('n_nationkey + 1')} AS nlat, {sql_lon('n_nationkey + 1')} AS nlon FROM customer JOIN nation ON c_nationkey = n_nationkey)"
+
+
+def customer_nation(spark, sf_dir):
+    n = i.table(spark, sf_dir, "nation")
+    c = i.table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", i.lat_of(F.col("c_custkey")).alias("lat"), i.lon_of(F.col("c_custkey")).alias("lon"))
+    k = F.col("n_nationkey").cast("long") + 1
+    return c.join(n.select("n_nationkey", i.lat_of(k).alias("nlat"), i.lon_of(k).alias("nlon")), F.col("c_nationkey") == F.col("n_nationkey"))
+
+
+@query("haversine_pairs", f"WITH {CUSTOMER_NATION} SELECT c_custkey, round({sql_haversine('lat', 'lon', 'nlat', 'nlon')}, 6) AS km FROM cn")
+def haversine_pairs(spark, sf_dir):
+    return rounded(customer_nation(spark, sf_dir).select("c_custkey", geo.haversine("lat", "lon", "nlat", "nlon").alias("km")), "km")
+
+
+_dest = sql_destination("lat", "lon", 45, 0.35)
+
+
+@query("destination_point", f"WITH {CUSTOMER_NATION} SELECT c_custkey, round({_dest[0]}, 6) AS dlat, round({_dest[1]}, 6) AS dlon FROM cn")
+def destination_point(spark, sf_dir):
+    lat, lon = geo.destination("lat", "lon", 45, 0.35)
+    return rounded(customer_nation(spark, sf_dir).select("c_custkey", lat.alias("dlat"), lon.alias("dlon")), "dlat", "dlon")
+
+
+@query(
+    "midpoint",
+    f"""WITH {CUSTOMER_NATION}, v AS (SELECT c_custkey, radians(lat) AS a, radians(nlat) AS b, radians(lon) AS l, radians(nlon) - radians(lon) AS d FROM cn)
+    SELECT c_custkey, round(degrees(atan2(sin(a) + sin(b), sqrt((cos(a) + cos(b) * cos(d)) * (cos(a) + cos(b) * cos(d)) + cos(b) * sin(d) * cos(b) * sin(d)))), 6) AS mlat, round(degrees(l + atan2(cos(b) * sin(d), cos(a) + cos(b) * cos(d))), 6) AS mlon FROM v""",
+)
+def midpoint(spark, sf_dir):
+    lat, lon = geo.midpoint("lat", "lon", "nlat", "nlon")
+    return rounded(customer_nation(spark, sf_dir).select("c_custkey", lat.alias("mlat"), lon.alias("mlon")), "mlat", "mlon")
+
+
+@query("bbox_agg", f"WITH {CUSTOMER_NATION} SELECT n_nationkey, round(min(lat), 6) AS min_lat, round(min(lon), 6) AS min_lon, round(max(lat), 6) AS max_lat, round(max(lon), 6) AS max_lon FROM cn GROUP BY n_nationkey")
+def bbox_agg(spark, sf_dir):
+    found = customer_nation(spark, sf_dir).groupBy("n_nationkey").agg(F.min("lat").alias("min_lat"), F.min("lon").alias("min_lon"), F.max("lat").alias("max_lat"), F.max("lon").alias("max_lon"))
+    return rounded(found, "min_lat", "min_lon", "max_lat", "max_lon")
+
+
+def boxes(df, key, size):
+    return df.select(F.col(key).alias("id"), (F.col("lat") - size).alias("min_lat"), (F.col("lon") - size).alias("min_lon"), (F.col("lat") + size).alias("max_lat"), (F.col("lon") + size).alias("max_lon"))
+
+
+@query(
+    "box_overlap_join",
+    f"WITH {PLACES}, {STATIONS} SELECT doc_id AS a_id, query_id AS b_id FROM places p, stations s WHERE p.lat - 0.01::double < s.lat + 0.03::double AND s.lat - 0.03::double < p.lat + 0.01::double AND p.lon - 0.01::double < s.lon + 0.03::double AND s.lon - 0.03::double < p.lon + 0.01::double",
+)
+def box_overlap_join(spark, sf_dir):
+    return spatial.overlapping(boxes(i.places(spark, sf_dir), "doc_id", 0.01), boxes(i.stations(spark, sf_dir), "query_id", 0.03))
+
+
+INSIDE = f"""{PLACES}, {REGIONS}, wn AS (SELECT doc_id, region_id, sum(CASE WHEN alat <= lat AND blat > lat AND (blon - alon) * (lat - alat) - (lon - alon) * (blat - alat) > 0 THEN 1 WHEN alat > lat AND blat <= lat AND (blon - alon) * (lat - alat) - (lon - alon) * (blat - alat) < 0 THEN -1 ELSE 0 END) AS w,
+bool_or(lon BETWEEN least(alon, blon) AND greatest(alon, blon) AND lat BETWEEN least(alat, blat) AND greatest(alat, blat)) AS boxed FROM places, edges GROUP BY ALL)"""
+
+
+def regions_of(spark, sf_dir, shortcut):
+    points = i.places(spark, sf_dir).select(F.col("doc_id").alias("query_id"), "lat", "lon")
+    return spatial.containing_region(points, i.regions(spark, sf_dir), shortcut).select(F.col("query_id").alias("doc_id"), "region_id")
+
+
+@query("point_in_polygon", f"WITH {INSIDE} SELECT doc_id, CAST(min(region_id) AS BIGINT) AS region_id FROM wn WHERE w <> 0 GROUP BY doc_id")
+def point_in_polygon(spark, sf_dir):
+    return regions_of(spark, sf_dir, False)
+
+
+@query("point_in_polygon_boxed", f"WITH {INSIDE} SELECT doc_id, CAST(min(region_id) AS BIGINT) AS region_id FROM wn WHERE w <> 0 OR boxed GROUP BY doc_id")
+def point_in_polygon_boxed(spark, sf_dir):
+    return regions_of(spark, sf_dir, True)
+
+
+_foot = sql_project("lat", "lon", ("nlat", "nlon"), ("nlat + 0.1::double", "nlon + 0.05::double"))
+
+
+@query("project_segment", f"WITH {CUSTOMER_NATION}, f AS (SELECT c_custkey, {_foot} AS f FROM cn) SELECT c_custkey, round(f.lat, 6) AS flat, round(f.lon, 6) AS flon FROM f")
+def project_segment(spark, sf_dir):
+    a = F.struct(F.col("nlat").alias("lat"), F.col("nlon").alias("lon"))
+    b = F.struct((F.col("nlat") + 0.1).alias("lat"), (F.col("nlon") + 0.05).alias("lon"))
+    found = customer_nation(spark, sf_dir).withColumn("f", geo.project_to_segment("lat", "lon", a, b))
+    return rounded(found.select("c_custkey", F.col("f.lat").alias("flat"), F.col("f.lon").alias("flon")), "flat", "flon")
+
+
+def sql_crosses(a: tuple[str, str], b: tuple[str, str], c: tuple[str, str], r: str) -> str:
+    y, x = (lambda p: f"(radians({p}) * 6371007)"), (lambda p: f"(radians({p}) * 6371007 * cos(radians({c[0]})))")
+    vy, vx, uy, ux = f"({y(a[0])} - {y(c[0])})", f"({x(a[1])} - {x(c[1])})", f"({y(b[0])} - {y(a[0])})", f"({x(b[1])} - {x(a[1])})"
+    al, be, ga = f"({uy} * {uy} + {ux} * {ux})", f"({uy} * {vy} + {ux} * {vx})", f"({vy} * {vy} + {vx} * {vx} - ({r} * 1000) * ({r} * 1000))"
+    d = f"({be} * {be} - {al} * {ga})"
+    root = lambda s: f"((-{be} {s} sqrt(greatest({d}, 0))) / {al})"
+    return f"(CASE WHEN {d} >= 0 AND {al} > 0 THEN ({root('+')} BETWEEN 0 AND 1 OR {root('-')} BETWEEN 0 AND 1) ELSE false END)"
+
+
+@query("line_circle", f"WITH {CUSTOMER_NATION} SELECT c_custkey, {sql_crosses(('lat', 'lon'), ('nlat', 'nlon'), ('-6.15::double', '106.85::double'), '5.0::double')} AS crosses FROM cn")
+def line_circle(spark, sf_dir):
+    return customer_nation(spark, sf_dir).select("c_custkey", geo.line_crosses_circle("lat", "lon", "nlat", "nlon", -6.15, 106.85, 5.0).alias("crosses"))
+
+
+# --- spatial search
+
+NEAR = f"{PLACES}, {STATIONS}, near AS (SELECT query_id, doc_id, feature, {sql_haversine('s.lat', 's.lon', 'p.lat', 'p.lon')} AS distance FROM stations s, places p)"
+
+
+@query("range_search", f"WITH {NEAR} SELECT query_id, doc_id, round(distance, 6) AS distance FROM near WHERE distance <= 3.0")
+def range_search(spark, sf_dir):
+    return rounded(spatial.within_radius(i.stations(spark, sf_dir), i.places(spark, sf_dir), F.lit(3.0)), "distance")
+
+
+@query("knn_topk", f"WITH {NEAR}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id) AS rank FROM near) SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, round(distance, 6) AS distance FROM r WHERE rank <= 5")
+def knn_topk(spark, sf_dir):
+    return rounded(spatial.nearest(i.stations(spark, sf_dir), i.places(spark, sf_dir), 5), "distance")
+
+
+@query(
+    "radius_feature_page",
+    f"WITH {NEAR}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id) AS rank FROM near WHERE distance <= 10.0 AND feature = 'segment=BUILDING') SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, round(distance, 6) AS distance FROM r WHERE rank > 3 AND rank <= 8",
+)
+def radius_feature_page(spark, sf_dir):
+    return rounded(spatial.nearby(i.stations(spark, sf_dir), i.places(spark, sf_dir), "segment=BUILDING", 5, 10.0, 3), "distance")
+
+
+def sql_box(lat: str, lon: str, km: float) -> tuple[str, str, str, str]:
+    (top, right), (low, left) = sql_destination(lat, lon, 45, km), sql_destination(lat, lon, 225, km)
+    return low, left, top, right
+
+
+def sql_overlap(a, b) -> str:
+    return f"({a[0]} < {b[2]} AND {b[0]} < {a[2]} AND {a[1]} < {b[3]} AND {b[1]} < {a[3]})"
+
+
+REVERSE = f"""{PLACES}, {STATIONS}, c AS (SELECT query_id, doc_id, s.lat AS slat, s.lon AS slon, p.lat AS plat, p.lon AS plon FROM stations s, places p WHERE {sql_overlap(sql_box("s.lat", "s.lon", 0.35), sql_box("p.lat", "p.lon", 0.4))}),
+side(i, e1, e2, e3, e4) AS (VALUES (0, 0.0::double, 0.0::double, 0.001::double, 0.0005::double), (1, 0.001, 0.0005, -0.0005, 0.001), (2, -0.0005, 0.001, 0.0, 0.0)),
+f AS (SELECT query_id, doc_id, slat, slon, {sql_project("slat", "slon", ("(plat + e1)", "(plon + e2)"), ("(plat + e3)", "(plon + e4)"))} AS f FROM c, side WHERE doc_id % 2 = 0
+  UNION ALL SELECT query_id, doc_id, slat, slon, {{'lat': plat, 'lon': plon}} FROM c WHERE doc_id % 2 = 1),
+g AS (SELECT query_id, doc_id, f, {sql_haversine("slat", "slon", "f.f.lat", "f.f.lon")} AS distance FROM f),
+h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id) AS rn FROM g)"""
+
+
+@query("reverse_geocode", f"WITH {REVERSE} SELECT query_id, doc_id, round(distance, 6) AS distance, round(f.lat, 6) AS lat, round(f.lon, 6) AS lon FROM h WHERE rn = 1")
+def reverse_geocode(spark, sf_dir):
+    return rounded(spatial.reverse_geocode(i.stations(spark, sf_dir), i.places(spark, sf_dir)), "distance", "lat", "lon")
+
+
+@query(
+    "nearest_street",
+    f"""WITH {PLACES}, {STREETS}, c AS (SELECT doc_id, street_id, lat, lon, mlat, mlon FROM places, streets WHERE {sql_overlap(sql_box("lat", "lon", 1.0), ("(mlat - 0.0001)", "(mlon - 0.0001)", "(mlat + 0.0001)", "(mlon + 0.0001)"))}),
+    f AS (SELECT *, {sql_project("lat", "lon", ("(mlat - 0.002::double)", "(mlon - 0.004::double)"), ("(mlat + 0.002::double)", "(mlon + 0.004::double)"))} AS f FROM c),
+    g AS (SELECT doc_id, street_id, {sql_haversine("lat", "lon", "f.f.lat", "f.f.lon")} AS distance FROM f), h AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY distance, street_id) AS rn FROM g)
+    SELECT doc_id, street_id, round(distance, 6) AS distance FROM h WHERE rn = 1""",
+)
+def nearest_street(spark, sf_dir):
+    points = i.places(spark, sf_dir).select(F.col("doc_id").alias("query_id"), "lat", "lon")
+    return rounded(spatial.nearest_street(points, i.streets(spark, sf_dir)), "distance").select(F.col("query_id").alias("doc_id"), "street_id", "distance")
+
+
+# --- geofences
+
+FENCES = f"""{POSITIONS}, {CIRCLES}, sc AS (SELECT *, {sql_haversine("lat", "lon", "flat", "flon")} AS distance FROM steps, circles),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY distance, key) AS n FROM sc),
+judged AS (SELECT *, distance <= r AS inside, plat IS NOT NULL AND {sql_haversine("coalesce(plat, -999)", "coalesce(plon, -999)", "flat", "flon")} <= r AS was, plat IS NOT NULL AND {sql_crosses(("coalesce(plat, -999)", "coalesce(plon, -999)"), ("lat", "lon"), ("flat", "flon"), "r")} AS crosses FROM ranked)"""
+STATUS = "unnest(CASE WHEN was AND inside THEN ['INSIDE'] WHEN was THEN ['EXIT', 'OUTSIDE'] WHEN inside THEN ['ENTER', 'INSIDE'] WHEN crosses THEN ['CROSS'] ELSE ['OUTSIDE'] END)"
+
+
+@query("fence_nearest3", f"WITH {FENCES} SELECT seq, key, round(distance, 6) AS distance FROM judged WHERE n <= 3")
+def fence_nearest3(spark, sf_dir):
+    found = fence.fence_transitions(i.positions(spark, sf_dir), i.circles(spark, sf_dir)).where("nth = 0")
+    return rounded(found.select("seq", "key", "distance"), "distance")
+
+
+@query("fence_transitions", f"WITH {FENCES} SELECT point_id, seq, key, {STATUS} AS status FROM judged WHERE n <= 3")
+def fence_transitions(spark, sf_dir):
+    return fence.fence_transitions(i.positions(spark, sf_dir), i.circles(spark, sf_dir)).select("point_id", "seq", "key", "status")
+
+
+@query("fence_transitions_all", f"WITH {FENCES} SELECT point_id, seq, key, {STATUS} AS status FROM judged")
+def fence_transitions_all(spark, sf_dir):
+    return fence.fence_transitions(i.positions(spark, sf_dir), i.circles(spark, sf_dir), None).select("point_id", "seq", "key", "status")
+
+
+@query("fence_state_latest", f"WITH {POSITIONS} SELECT point_id, round(arg_max(lat, (ts, seq)), 6) AS lat, round(arg_max(lon, (ts, seq)), 6) AS lon FROM pos GROUP BY point_id")
+def fence_state_latest(spark, sf_dir):
+    return rounded(fence.last_positions(i.positions(spark, sf_dir)), "lat", "lon")
+
+
+# --- enrichment
+
+
+def tagged(spark, sf_dir):
+    """Parts as tagged things: id, tags, name and a box around a point that parts of one name and brand share in part."""
+    k = F.col("p_partkey")
+    tags = F.map_filter(F.create_map(F.lit("name"), "p_name", F.lit("shop"), F.when(k % 2 == 0, F.col("p_type")), F.lit("amenity"), F.when(k % 3 == 0, F.col("p_brand")), F.lit("short_name"), F.when(k % 5 == 0, F.lit("s"))), lambda _, v: v.isNotNull())
+    return i.table(spark, sf_dir, "part").select(k.alias("id"), tags.alias("tags"), F.col("p_size").alias("size"))
+
+
+@query(
+    "type_coalesce",
+    """SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN p_name || ' (s)' ELSE p_name END AS name, CASE WHEN p_partkey % 3 = 0 THEN p_brand WHEN p_partkey % 2 = 0 THEN p_type ELSE '' END AS type,
+    array_to_string(list_sort(CASE WHEN p_partkey % 3 = 0 THEN ['amenity=' || p_brand] ELSE [] END || CASE WHEN p_partkey % 2 = 0 THEN ['shop=' || p_type] ELSE [] END), ',') AS features FROM part""",
+)
+def type_coalesce(spark, sf_dir):
+    return tagged(spark, sf_dir).select("id", enrich.place_name().alias("name"), enrich.place_type().alias("type"), F.array_join(enrich.features(), ",").alias("features"))
+
+
+@query("capitalize_names", "SELECT DISTINCT p_type AS raw, upper(p_type[1:1]) || lower(p_type[2:]) AS capital FROM part UNION SELECT DISTINCT p_name, upper(p_name[1:1]) || lower(p_name[2:]) FROM part")
+def capitalize_names(spark, sf_dir):
+    p = i.table(spark, sf_dir, "part")
+    return p.select(F.col("p_type").alias("raw")).union(p.select("p_name")).distinct().select("raw", capitalize(F.col("raw")).alias("capital"))
+
+
+def boxed_parts(spark, sf_dir):
+    at, half = F.col("p_size") % 7, F.lit(0.5) + F.col("p_partkey") % 3
+    box = F.struct((at - half).alias("min_lat"), (at - half).alias("min_lon"), (at + half).alias("max_lat"), (at + half).alias("max_lon"))
+    return i.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand").alias("name"), box.alias("box"))
+
+
+@query(
+    "dedup_by_name_box",
+    """WITH b AS (SELECT p_partkey AS id, lower(p_name || ' ' || p_brand) AS k, p_size % 7 - (0.5 + p_partkey % 3) AS lo, p_size % 7 + 0.5 + p_partkey % 3 AS hi FROM part)
+    SELECT id FROM b WHERE NOT EXISTS (SELECT 1 FROM b c WHERE c.k = b.k AND c.id < b.id AND ((c.lo <= b.lo AND c.hi >= b.hi) OR (b.lo <= c.lo AND b.hi >= c.hi)))""",
+)
+def dedup_by_name_box(spark, sf_dir):
+    return enrich.drop_duplicate_ways(boxed_parts(spark, sf_dir)).select("id")
+
+
+@query("upper_median_center", f"WITH {CUSTOMER_NATION}, l AS (SELECT n_nationkey, list_sort(list(lat)) AS a, list_sort(list(lon)) AS o FROM cn GROUP BY 1) SELECT n_nationkey, round(a[len(a) // 2 + 1], 6) AS lat, round(o[len(o) // 2 + 1], 6) AS lon FROM l")
+def upper_median_center(spark, sf_dir):
+    found = customer_nation(spark, sf_dir).groupBy("n_nationkey").agg(F.collect_list("lat").alias("a"), F.collect_list("lon").alias("o"))
+    return rounded(found.select("n_nationkey", geo.upper_median(F.col("a")).alias("lat"), geo.upper_median(F.col("o")).alias("lon")), "lat", "lon")
+
+
+@query("address_region", f"WITH {INSIDE}, o AS (SELECT doc_id, min(region_id) AS region_id FROM wn WHERE w <> 0 GROUP BY doc_id) SELECT p.doc_id, ', ' || coalesce(upper(n_name[1:1]) || lower(n_name[2:]) || ', Sub one, , Province x', '') AS address FROM places p LEFT JOIN o USING (doc_id) LEFT JOIN nation ON region_id = n_nationkey")
+def address_region(spark, sf_dir):
+    """Addresses of places without a street near them."""
+    rows = i.places(spark, sf_dir).withColumn("tags", F.create_map(F.lit("a"), F.lit("b")))
+    none = i.streets(spark, sf_dir).withColumn("mid_lat", F.col("mid_lat") + 40)
+    return enrich.addresses(rows, none, i.regions(spark, sf_dir)).select("doc_id", "address")
+
+
+@query("dense_numbers", "SELECT p_partkey % 2 AS kind, p_partkey AS id, row_number() OVER (ORDER BY p_partkey % 2, p_partkey) - 1 AS doc_id FROM part")
+def dense_numbers(spark, sf_dir):
+    rows = i.table(spark, sf_dir, "part").select((F.col("p_partkey") % 2).alias("kind"), F.col("p_partkey").alias("id"))
+    return enrich.number(rows, ["kind", "id"], block=100).select("kind", "id", "doc_id")
