@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from atlaspark.llm.common import materialise, table
-from atlaspark.llm.tokens import END_ID, Encoder, vocabulary_path
+from atlaspark.llm.tokens import END_ID, encoder, vocabulary_path
 
 WINDOW = 2048
 GRAIN = 32
@@ -53,11 +53,11 @@ def cut_pieces(docs: DataFrame, path: str | None = None, window: int = WINDOW, g
     def cut(batches):
         import pyarrow as pa
 
-        encoder, end = Encoder(path), END_ID.to_bytes(4, "little")
+        coder, end = encoder(path), END_ID.to_bytes(4, "little")
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encoder.ids(text.as_py()) + end
+                ids = coder.ids(text.as_py()) + end
                 n, start = len(ids) // 4, 0
                 for length in cut_points(n, window, grain):
                     rows.append((doc_id, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n))

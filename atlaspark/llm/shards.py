@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from atlaspark.llm.common import materialise, new_path, table
-from atlaspark.llm.tokens import END_ID, Encoder, vocabulary_path
+from atlaspark.llm.tokens import END_ID, encoder, vocabulary_path
 
 SEQUENCE = 512
 HEADER = "<qII"
@@ -93,11 +93,11 @@ def encoded(docs: DataFrame, path: str | None = None, key: bytes = KEY) -> tuple
         import numpy as np
         import pyarrow as pa
 
-        encoder, end, order = Encoder(path), END_ID.to_bytes(4, "little"), Permutation(domain, key)
+        coder, end, order = encoder(path), END_ID.to_bytes(4, "little"), Permutation(domain, key)
         for batch in batches:
             doc, virtual, chunk, length, ids = [], [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = np.frombuffer(encoder.ids(text.as_py()) + end, "<u4").astype("<u2").tobytes()
+                own = np.frombuffer(coder.ids(text.as_py()) + end, "<u4").astype("<u2").tobytes()
                 at = (high + 1 if doc_id is None else doc_id) - low
                 for c in range(-(-len(own) // (2 * SEQUENCE))):
                     part = own[2 * SEQUENCE * c : 2 * SEQUENCE * (c + 1)]

@@ -3,8 +3,9 @@
 The vocabulary of word_bpe_49k.json splits a text into words and merges inside
 a word only, so ids of a text are the ids of its words in order. Texts made of
 ASCII and precomposed Latin letters are split here by the vocabulary's own
-pattern and each distinct word is encoded once per worker; any other text, and
-any text that holds a special token's string, goes to the tokenizer as a whole.
+pattern and a worker process remembers its words' ids from task to task, in two
+generations, so that frequent words stay; any other text, and any text that holds
+a special token's string, goes to the tokenizer as a whole.
 """
 
 from __future__ import annotations
@@ -14,12 +15,12 @@ import re
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1  # closes every document
-CACHE_WORDS = 300_000  # a worker's cache starts afresh beyond this many words
+GENERATION = 400_000  # words a worker remembers, twice over: those in use and the generation before
 
 # The vocabulary's split pattern over the letters of PLAIN, and its special tokens.
 LATIN = "ß-öø-ɏ"
 WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LATIN}]+|[0-9]|[^ \t-\ra-z{LATIN}0-9]+")
-OTHER = re.compile("[^\x00-\x1b\x20-\x7fÀ-ÖØ-öø-įı-ž]")
+OTHER = re.compile("[^\x00-\x7fÀ-ÖØ-öø-įı-ž]")
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 
 
@@ -39,7 +40,8 @@ class Encoder:
 
         self.np = np
         self.tokenizer = Tokenizer.from_file(path or vocabulary_path())
-        self.cache: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         ends = [i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]
         self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids that end a word
         self.last[ends] = True
@@ -50,28 +52,41 @@ class Encoder:
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if OTHER.search(text) or any(s in text for s in SPECIAL):
+        if (not text.isascii() and OTHER.search(text)) or any(s in text for s in SPECIAL):
             return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
         words = WORDS.findall(text.lower())
-        cache = self.cache
-        try:
-            return b"".join([cache[w] for w in words])
-        except KeyError:
-            new = [w for w in set(words) if w not in cache]
-            if len(cache) + len(new) > CACHE_WORDS:
-                cache.clear()
-                new = list(set(words))
-            self._learn(new)
-            return b"".join([cache[w] for w in words])
-
-    def _learn(self, words: list[str]) -> None:
-        """Encodes the words in one text and cuts its ids after each id that ends a word."""
+        every = set(words)
+        if missing := every.difference(self.words):
+            if len(self.words) + len(missing) > GENERATION:
+                self.older, self.words, missing = self.words, {}, every
+            self._learn(missing)
+        return b"".join(map(self.words.__getitem__, words))
+
+    def _learn(self, missing: set[str]) -> None:
+        """Takes words from the older generation, and encodes the rest in one text, cutting its ids after each id that ends a word."""
         np = self.np
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u4")
+        new = []
+        for w in missing:
+            known = self.older.get(w)
+            if known is None:
+                new.append(w)
+            else:
+                self.words[w] = known
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, dtype="<u4")
         cuts = np.flatnonzero(self.last[ids]) + 1
-        if len(cuts) != len(words) or (len(cuts) and cuts[-1] != len(ids)):
+        if len(cuts) != len(new) or (len(cuts) and cuts[-1] != len(ids)):
             raise ValueError("the vocabulary has no mark at some word's end")
         raw, at = ids.tobytes(), 0
-        for w, cut in zip(words, (4 * cuts).tolist(), strict=True):
-            self.cache[w] = raw[at:cut]
+        for w, cut in zip(new, (4 * cuts).tolist(), strict=True):
+            self.words[w] = raw[at:cut]
             at = cut
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """This process's encoder for a vocabulary file."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
