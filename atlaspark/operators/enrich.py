@@ -93,7 +93,7 @@ def with_center(ways: DataFrame) -> DataFrame:
 
 def streets(ways: DataFrame) -> DataFrame:
     """Ways with geometry to streets: street_id, name, mid_lat, mid_lon, first, last, speed."""
-    lat, lon = (F.array_sort(F.transform("geom", lambda p, c=c: p[c])) for c in ("lat", "lon"))
+    lat, lon = F.array_sort("geom.lat"), F.array_sort("geom.lon")
     mid = geo.midpoint(lat[0], lon[0], F.element_at(lat, -1), F.element_at(lon, -1))
     speed = F.create_map(*[F.lit(x) for kv in SPEEDS.items() for x in kv])
     rows = ways.where(tag("highway").isin(STREET_CLASSES) & (F.size("geom") > 0))

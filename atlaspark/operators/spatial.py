@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from atlaspark.functions import geo
+from atlaspark.operators.storage import checkpointed
 
 CELL = 0.05  # degrees, about 5.6 km
 KM_PER_DEGREE = geo.EARTH_KM * math.pi / 180
@@ -104,14 +105,14 @@ def nearest(points: DataFrame, objects: DataFrame, k: int, start_km: float = 2.0
     while True:
         last = km >= half
         found = within_radius(left, objects, F.lit(min(km, half)), min(90.0, max(CELL, km / KM_PER_DEGREE)))
-        ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        full = ranked if last else ranked.join(ranked.where(F.col("rank") == k).select("query_id"), "query_id", "left_semi")
+        ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "distance")
+        full = ranked if last else checkpointed(ranked.withColumn("_n", F.count("*").over(Window.partitionBy("query_id"))).where(F.col("_n") == k).drop("_n"))
         done = full if done is None else done.unionByName(full)
         if last:
-            return done.select("query_id", "rank", "doc_id", "distance")
-        left = left.join(full.select("query_id").distinct(), "query_id", "left_anti")
+            return done
+        left = checkpointed(left.join(full.select("query_id").distinct(), "query_id", "left_anti"))
         if left.isEmpty():
-            return done.select("query_id", "rank", "doc_id", "distance")
+            return done
         km *= growth
 
 
