@@ -189,8 +189,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, traits: DataFrame, docs: DataFrame, width: int, level: int = LEVEL) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets are similar enough."""
-    side = lambda x: traits.select(F.col("id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("registers").alias(f"r{x}"))
+    """Those of the pairs (a, b) whose full sets are similar enough: by the exact bound, then the estimate, then the sets."""
+    side = lambda x: traits.select(F.col("id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("signature").alias(f"g{x}"), F.col("registers").alias(f"r{x}"))
 
     def likely(batches):
         import numpy as np
@@ -207,7 +207,8 @@ def verified(pairs: DataFrame, traits: DataFrame, docs: DataFrame, width: int, l
                 keep[s] = estimate(a[s], b[s], na[s], nb[s]) >= level / 100 - MARGIN
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
 
-    rows = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "ra", "nb", "rb")
+    first, second = pairs.join(side("a"), "a"), side("b").withColumnRenamed("b", "other")
+    rows = first.join(second, (F.col("b") == F.col("other")) & could_link(level)).select("a", "b", "na", "ra", "nb", "rb")
     rows = materialise(rows.mapInArrow(likely, "a binary, b binary"), "likely-pairs")
     wanted = rows.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(traits.select("id", "doc_id"), "id")
     sets = materialise(full_sets(docs, materialise(wanted.select("id", "doc_id"), "wanted"), width), "shingle-sets")
@@ -235,11 +236,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, level: int = LEVEL) -> Data
     entries = materialise(keys.join(shared, "key").groupBy("key", "id").agg(F.first("pivot").alias("pivot")), "entries")
     traits = rows.join(entries.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.first("registers").alias("registers"))
     traits = materialise(traits.join(classes.select("id", "doc_id"), "id"), "traits")
-    a, b = (traits.select(F.col("id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("signature").alias(f"g{x}")) for x in "ab")
-
     stars = materialise(entries.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(), "stars")
-    close = stars.join(a, "a").join(b, "b").where(could_link(level)).select("a", "b")
-    links = verified(materialise(close, "close"), traits, docs, width, level)
+    links = verified(stars, traits, docs, width, level)
 
     part = components(links)
     homes = materialise(entries.join(part, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("label", "id").alias("home")), "homes")
