@@ -11,7 +11,7 @@ million.
 Inside a bucket nobody meets everybody. Every member is first held against the
 bucket's least member; the exact links found give components. Only members
 outside a bucket's largest component are then held against the members of other
-components, under an exact bound from 1024-bit set signatures that is part of
+components, under an exact bound from 2048-bit set signatures that is part of
 the join. What passes is estimated jointly by likelihood from both registers and
 set sizes, dropped only if far below the threshold (MARGIN, about eight standard
 errors), and verified on the full sets. So links between different texts decide
@@ -37,7 +37,7 @@ REGISTERS, BAND = 264, 6
 BASE, RATE, TOP = 1.001, 20.0, 65_534
 LEVEL = 80  # hundredths of similarity
 MARGIN = 0.2  # estimates this far below the level are not verified
-SIGNATURE = 16  # 64-bit words in a set signature
+SIGNATURE = 32  # 64-bit words in a set signature
 MAP_BITS = 1 << 24
 
 SKETCH = "id binary, doc_id long, doc_hash long, n_shingles long, signature array<long>, registers binary, bands array<long>"
@@ -243,11 +243,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, level: int = LEVEL) -> Data
     homes = materialise(entries.join(part, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("label", "id").alias("home")), "homes")
     largest = homes.groupBy("key", "home").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("home", F.struct("n", "home")).alias("main"), F.count("*").alias("homes")).where("homes > 1").select("key", "main")
     mixed = materialise(homes.join(largest, "key"), "mixed")
-    mixed_traits = mixed.join(traits.select("id", "n_shingles", "signature"), "id")
-    one = mixed_traits.where("home <> main").select("key", F.col("id").alias("a"), F.col("home").alias("ha"), F.col("n_shingles").alias("na"), F.col("signature").alias("ga"))
-    two = mixed_traits.select("key", F.col("id").alias("b"), F.col("home").alias("hb"), "main", F.col("n_shingles").alias("nb"), F.col("signature").alias("gb"))
+    # A pair that shares several keys is taken under the first of them only.
+    own = rows.groupBy("id").agg(F.first("bands").alias("bands")).join(mixed.select("id").distinct(), "id", "left_semi")
+    mixed_traits = mixed.join(traits.select("id", "n_shingles", "signature").join(own, "id"), "id").withColumn("nth", F.array_position("bands", F.col("key")))
+    side = lambda x: [F.col("id").alias(x), F.col("home").alias(f"h{x}"), F.col("n_shingles").alias(f"n{x}"), F.col("signature").alias(f"g{x}"), F.slice("bands", F.lit(1), F.col("nth").cast("int") - 1).alias(f"k{x}")]
+    one = mixed_traits.where("home <> main").select("key", *side("a"))
+    two = mixed_traits.select("key", "main", *side("b"))
     apart = (F.col("ha") != F.col("hb")) & ((F.col("hb") == F.col("main")) | (F.col("a") < F.col("b")))
-    rest = one.join(two, (one["key"] == two["key"]) & apart & could_link(level)).select("a", "b").distinct()
+    first = ~F.exists(F.zip_with("ka", "kb", lambda x, y: x == y), lambda same: same)
+    rest = one.join(two, (one["key"] == two["key"]) & apart & could_link(level) & first).select("a", "b")
     rest = materialise(rest.join(stars, ["a", "b"], "left_anti").join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         part = components(links.unionByName(verified(rest, traits, docs, width, level)))
