@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from atlaspark.operators import index as ix
 from atlaspark.operators import lm, rank, spell
+from atlaspark.operators.storage import checkpointed
 
 # What a query and its paging may be.
 QUERY = re.compile(r"^[A-Za-z0-9_ +,.()'-]+$")
@@ -58,7 +59,7 @@ def corrected_queries(queries: DataFrame, index: ix.Index, counts: DataFrame, ch
 def search(queries: DataFrame, index: ix.Index, counts: DataFrame, channel: spell.Channel, k: int = 10, offset: int = 0, ranker: str = "bm25_field", max_candidates: int | None = None) -> DataFrame:
     """query_id, rank, score and the documents of each query's page, after correction."""
     validate(k=k, offset=offset)
-    best = corrected_queries(queries, index, counts, channel, 1, False, max_candidates)
+    best = checkpointed(corrected_queries(queries, index, counts, channel, 1, False, max_candidates))
     terms = best.select("query_id", F.explode("words").alias("term"))
     return rank.top_documents(index, terms, ranker, k, offset)
 
@@ -66,7 +67,7 @@ def search(queries: DataFrame, index: ix.Index, counts: DataFrame, channel: spel
 def autocomplete(queries: DataFrame, index: ix.Index, counts: DataFrame, channel: spell.Channel, k: int = 10, offset: int = 0, dedup: bool = False, max_candidates: int | None = None) -> DataFrame:
     """As search, over the three likeliest completions or corrections; a document found by several comes several times unless dedup."""
     validate(k=k, offset=offset)
-    best = corrected_queries(queries, index, counts, channel, 3, True, max_candidates)
+    best = checkpointed(corrected_queries(queries, index, counts, channel, 3, True, max_candidates))
     terms = best.select(F.struct("query_id", "place").alias("query_id"), F.explode("words").alias("term"))
     scores = rank.bm25_fields(index, terms).select("query_id.query_id", "query_id.place", "doc_id", "score")
     if dedup:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from atlaspark.functions.edits import START_CHAR, characters, edit_of
 from atlaspark.operators.lm import sequence_log_probability
+from atlaspark.operators.storage import checkpointed
 
 NO_EDIT = 0.9  # chance that a word is as it was meant
 
@@ -107,7 +108,7 @@ def query_candidates(choices: DataFrame, max_candidates: int | None = None) -> D
 
 def best_queries(candidates: DataFrame, counts: DataFrame, channel: Channel, k: int = 1) -> DataFrame:
     """The k likeliest candidates of each query by language model and channel, earlier ones first among equals: query_id, place, words, logp."""
-    candidates = candidates.withColumn("id", F.struct("query_id", "ord"))
+    candidates = checkpointed(candidates.withColumn("id", F.struct("query_id", "ord")))
     lm = sequence_log_probability(candidates.select("id", F.col("words.corrected").alias("words")), counts)
     edits = candidates.select("id", F.explode_outer("words").alias("w")).select("id", "w.typo", "w.corrected").where("typo is not null")
     pairs = edit_log_probability(edits.select("typo", "corrected").distinct(), channel)

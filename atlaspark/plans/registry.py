@@ -10,6 +10,7 @@ from atlaspark.functions.edits import edit_of
 from atlaspark.functions.text import capitalize, tokens
 from atlaspark.operators import boolean, enrich, fence, lm, rank, search, spatial, spell
 from atlaspark.operators import index as ix
+from atlaspark.operators.storage import checkpointed
 from atlaspark.plans import inputs as i
 from atlaspark.plans.inputs import CIRCLES, CORPUS, PLACES, POSITIONS, REGIONS, STATIONS, STREETS, sql_destination, sql_haversine, sql_lat, sql_lon, sql_project, sql_tokens
 
@@ -279,8 +280,11 @@ def typed_queries(spark, sf_dir):
 
 
 def shop_model(spark, sf_dir):
+    """Index, language model and channel, each written once, as an offline build would leave them."""
     index = ix.build_index(i.shop(spark, sf_dir))
-    return index, search.language_model(index), spell.build_channel(spellings(spark, sf_dir))
+    index = ix.Index(checkpointed(index.postings), checkpointed(index.stats), index.docs)
+    channel = spell.build_channel(spellings(spark, sf_dir))
+    return index, checkpointed(search.language_model(index)), spell.Channel(*[checkpointed(t) for t in (channel.unigram, channel.bigram, channel.edit, channel.alphabet)])
 
 
 @query("spell_correct")
