@@ -401,6 +401,44 @@ def line_circle(spark, sf_dir):
     return customer_nation(spark, sf_dir).select("c_custkey", geo.line_crosses_circle("lat", "lon", "nlat", "nlon", -6.15, 106.85, 5.0).alias("crosses"))
 
 
+@query("equirectangular_pairs", f"WITH {CUSTOMER_NATION} SELECT c_custkey, round(6371 * sqrt(((radians(nlon) - radians(lon)) * cos((radians(lat) + radians(nlat)) / 2)) ** 2 + (radians(nlat) - radians(lat)) ** 2), 6) AS km FROM cn")
+def equirectangular_pairs(spark, sf_dir):
+    return rounded(customer_nation(spark, sf_dir).select("c_custkey", geo.equirectangular("lat", "lon", "nlat", "nlon").alias("km")), "km")
+
+
+NATION_BOX = "nb AS (SELECT *, least(nlat, nlat + 0.1::double) AS a, least(nlon, nlon + 0.2::double) AS b, nlat + 0.1::double AS c, nlon + 0.2::double AS d FROM cn)"
+
+
+@query("box_measures", f"WITH {CUSTOMER_NATION}, {NATION_BOX} SELECT c_custkey, round({sql_haversine('lat', 'lon', 'least(greatest(lat, a), c)', 'least(greatest(lon, b), d)')}, 6) + 0.0 AS km, lat BETWEEN a AND c AND lon BETWEEN b AND d AS inside, round((c - a) * (d - b), 6) AS area, round((greatest(c, lat) - least(a, lat)) * (greatest(d, lon) - least(b, lon)), 6) AS grown FROM nb")
+def box_measures(spark, sf_dir):
+    box = F.struct(F.col("nlat").alias("min_lat"), F.col("nlon").alias("min_lon"), (F.col("nlat") + 0.1).alias("max_lat"), (F.col("nlon") + 0.2).alias("max_lon"))
+    own = F.struct(F.col("lat").alias("min_lat"), F.col("lon").alias("min_lon"), F.col("lat").alias("max_lat"), F.col("lon").alias("max_lon"))
+    found = customer_nation(spark, sf_dir).select("c_custkey", geo.box_distance(box, "lat", "lon").alias("km"), geo.box_contains(box, "lat", "lon").alias("inside"), geo.box_area(box).alias("area"), geo.box_area(geo.box_union(box, own)).alias("grown"))
+    return rounded(found, "km", "area", "grown")
+
+
+@query("circle_contains", f"WITH {CUSTOMER_NATION} SELECT c_custkey, {sql_haversine('lat', 'lon', 'nlat', 'nlon')} <= 20.0 AS inside FROM cn")
+def circle_contains(spark, sf_dir):
+    return customer_nation(spark, sf_dir).select("c_custkey", geo.circle_contains("lat", "lon", "nlat", "nlon", 20.0).alias("inside"))
+
+
+@query("previous_positions", f"WITH {POSITIONS} SELECT point_id, seq, round(plat, 6) AS prev_lat, round(plon, 6) AS prev_lon FROM steps WHERE plat IS NOT NULL")
+def previous_positions(spark, sf_dir):
+    found = fence.with_previous(i.positions(spark, sf_dir)).where("prev_lat is not null")
+    return rounded(found.select("point_id", "seq", "prev_lat", "prev_lon"), "prev_lat", "prev_lon")
+
+
+@query("place_upsert", f"WITH {PLACES}, {STATIONS} SELECT doc_id, round(lat, 6) AS lat, round(lon, 6) AS lon FROM places WHERE doc_id NOT IN (SELECT query_id FROM stations) UNION ALL SELECT query_id, round(lat, 6), round(lon, 6) FROM stations")
+def place_upsert(spark, sf_dir):
+    changes = i.stations(spark, sf_dir).select(F.col("query_id").alias("doc_id"), "lat", "lon")
+    return rounded(spatial.upsert(i.places(spark, sf_dir).select("doc_id", "lat", "lon"), changes), "lat", "lon")
+
+
+@query("posting_lookup", f"WITH {CORPUS} SELECT doc_id, tf FROM post WHERE field = 'address' AND term = 'licensed'")
+def posting_lookup(spark, sf_dir):
+    return ix.posting_list(the_index(spark, sf_dir), "address", "licensed")
+
+
 # --- spatial search
 
 NEAR = f"{PLACES}, {STATIONS}, near AS (SELECT query_id, doc_id, feature, {sql_haversine('s.lat', 's.lon', 'p.lat', 'p.lon')} AS distance FROM stations s, places p)"
