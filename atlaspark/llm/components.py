@@ -8,16 +8,26 @@ from pyspark.sql import functions as F
 from atlaspark.llm.common import materialise
 
 
+SALTS = 8  # keys over which the edges of one node are dealt
+
+
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """edges (a, b) and m of their end a in least (n, m); the edges of a node with many go to several tasks."""
+    least = least.select("n", "m", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
+    dealt = edges.withColumn("deal", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    return dealt.join(least, (F.col("a") == F.col("n")) & (F.col("deal") == F.col("salt")))
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
-    return both.where("b > a").join(least, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return _with_least(both.where("b > a"), least).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
     least = down.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), "m")
-    met = down.join(least, F.col("a") == F.col("n"))
+    met = _with_least(down, least)
     return met.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b")
 
 
