@@ -124,7 +124,7 @@ def make_bitmap(hashes: DataFrame) -> bytes:
     import numpy as np
 
     bit = F.col("hash").bitwiseAND(F.lit(BITS - 1))
-    rows = hashes.groupBy(F.shiftright(bit, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(hash & {63} as int))")).alias("b")).collect()
+    rows = hashes.groupBy(F.shiftright(bit, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(hash & 63 as int))")).alias("b")).collect()
     bitmap = np.zeros(BITS // 64, np.int64)
     for w, b in rows:
         bitmap[w] = b
@@ -191,8 +191,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least_items: int =
     bad = find_hits(docs, benchmark).where(F.size("items") >= least_items).select(F.coalesce("doc_id", F.lit(0)).alias("k0"), F.col("doc_id").isNull().alias("k1"), F.col("doc_hash").alias("k2"))
     bad = materialise(bad.distinct(), "contaminated")
     d = docs.alias("d")
-    same = (F.coalesce(F.col("d.doc_id").cast("long"), F.lit(0)) == F.col("k0")) & (F.col("d.doc_id").isNull() == F.col("k1")) & (F.xxhash64("d.text") == F.col("k2"))
-    return d.join(bad, same, "left_anti")
+    same = (F.coalesce(F.col("d.doc_id").cast("long"), F.lit(0)) == F.col("b.k0")) & (F.col("d.doc_id").isNull() == F.col("b.k1")) & (F.xxhash64("d.text") == F.col("b.k2"))
+    return d.join(bad.alias("b"), same, "left_anti")
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -272,12 +272,12 @@ def keep_one(docs: DataFrame, width: int = 5, level: int = LEVEL) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "doc_hash"))
     chosen = marks.where("group is not null").groupBy("group").agg(first.alias("first")).select("first.doc_id", "first.doc_hash", F.lit(True).alias("full"))
     chosen = materialise(chosen.unionByName(marks.where("group is null").select("doc_id", "doc_hash", F.lit(False).alias("full")).distinct()), "chosen")
-    key = [F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), "doc_hash"]
-    chosen = chosen.select(*[c if isinstance(c, str) else c.alias(f"k{i}") for i, c in enumerate(key)], "full").toDF("k0", "k1", "k2", "full")
+    chosen = chosen.select(F.coalesce("doc_id", F.lit(0)).alias("k0"), F.col("doc_id").isNull().alias("k1"), F.col("doc_hash").alias("k2"), "full").alias("c")
     d = docs.alias("d")
-    met = d.join(chosen, (F.coalesce(F.col("d.doc_id").cast("long"), F.lit(0)) == F.col("k0")) & (F.col("d.doc_id").isNull() == F.col("k1")) & (F.xxhash64("d.text") == F.col("k2")))
-    nth = F.row_number().over(Window.partitionBy("k0", "k1", "k2").orderBy("k0"))
-    return met.withColumn("_nth", nth).where("_nth = 1 or not full").select(*[F.col(f"d.`{c}`") for c in docs.columns])
+    met = d.join(chosen, (F.coalesce(F.col("d.doc_id").cast("long"), F.lit(0)) == F.col("c.k0")) & (F.col("d.doc_id").isNull() == F.col("c.k1")) & (F.xxhash64("d.text") == F.col("c.k2")))
+    nth = F.row_number().over(Window.partitionBy("c.k0", "c.k1", "c.k2").orderBy("c.k0"))
+    own = F.struct(*[F.col(f"d.`{c}`").alias(c) for c in docs.columns])
+    return met.select(own.alias("own"), nth.alias("nth"), F.col("c.full").alias("full")).where("nth = 1 or not full").select("own.*")
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,7 +39,8 @@ SEQUENCE = 512
 HEADER = "<qII"
 HEADER_BYTES = struct.calcsize(HEADER)
 STRIDE = HEADER_BYTES + 2 * SEQUENCE
-SHARD_BYTES = 16 << 20  # aimed at
+SHARD_BYTES = 16 << 20  # aimed at, or more where there would be over MAX_SHARDS
+MAX_SHARDS = 65_536  # bound on the counts that reach the driver
 ROUNDS = 6
 KEY = b"training order 1"
 
@@ -73,7 +74,7 @@ class Permutation:
 
 def shard_count(total_bytes: int, least: int = 1) -> int:
     """From the bytes of all texts, at about three a token."""
-    return max(least, -(-(total_bytes * 2 // 3) // SHARD_BYTES))
+    return min(MAX_SHARDS, max(least, -(-(total_bytes * 2 // 3) // SHARD_BYTES)))
 
 
 def encoded(docs: DataFrame, path: str | None = None, key: bytes = KEY) -> tuple[DataFrame, int]:
