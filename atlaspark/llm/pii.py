@@ -1,9 +1,9 @@
 """Personal data: base patterns, and candidates chosen by boosted trees.
 
 Base spans follow fixed patterns, leftmost and non-overlapping within a kind.
-Besides, generators propose further spans with high recall (loose digit groups,
-loose and spelled-out mail addresses); they overlap each other and the base
-spans. Boosted trees score each proposal from its format and its context, a
+Besides, generators propose further spans with high recall (loose digit groups
+and all their sub-runs that start and end at borders of groups, loose and
+spelled-out mail addresses); they overlap each other and the base spans. Boosted trees score each proposal from its format and its context, a
 threshold calibrated on held-out examples selects, and of overlapping choices
 the likelier stays. Base spans always stay.
 
@@ -40,6 +40,9 @@ LOCAL_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ012
 
 # What the generators look for.
 LOOSE_DIGITS = re.compile(r"\+?\(?(?<![0-9])[0-9](?:[\x20().,/_-]{0,3}[0-9])+")
+DIGITS = re.compile("[0-9]+")
+MOST_DIGITS = 19  # of a proposal
+BESIDE = (re.compile(r"[0-9][\x20().,/_-]{1,3}\(?\Z"), re.compile(r"[\x20().,/_-]{1,3}[0-9]"))
 LOOSE_MAIL = re.compile(r"[^\s@<>,;:]{1,64}@[^\s@<>,;]{2,255}")
 SPELLED_MAIL = re.compile(r"(?<![^\s<>,;:])[A-Za-z0-9._%+-]{1,64}[ ]?(?:[\[(][ ]?at[ ]?[\])]|[ ]at[ ])[ ]?[A-Za-z0-9-]{1,63}[ ]?(?:[\[(][ ]?dot[ ]?[\])]|[ ]dot[ ])[ ]?[A-Za-z]{2,24}\b", re.I)
 CUES = {
@@ -104,13 +107,22 @@ def proposals(text: str) -> list[tuple[int, int, int]]:
         found += [(m.start(), 0, m.end()) for m in SPELLED_MAIL.finditer(text)]
     if DIGIT.search(text):
         for m in LOOSE_DIGITS.finditer(text):
-            n = sum(map(m[0].count, "0123456789"))
-            if 4 <= n <= 12 and m[0].count(".") + m[0].count(",") >= 3:
-                found.append((m.start(), 1, m.end()))
-            if 12 <= n <= 19:
-                found.append((m.start(), 2, m.end()))
-            if 7 <= n <= 15:
-                found.append((m.start(), 3, m.end()))
+            groups = [g.span() for g in DIGITS.finditer(text, m.start(), m.end())]
+            for i, (a, _) in enumerate(groups):
+                start, n, marks = (m.start() if i == 0 else a - (text[a - 1] == "(")), 0, 0
+                for j in range(i, len(groups)):
+                    n += groups[j][1] - groups[j][0]
+                    if n > MOST_DIGITS:
+                        break
+                    if j > i:
+                        between = text[groups[j - 1][1] : groups[j][0]]
+                        marks += between.count(".") + between.count(",")
+                    if 4 <= n <= 12 and marks >= 3:
+                        found.append((start, 1, groups[j][1]))
+                    if 12 <= n <= MOST_DIGITS:
+                        found.append((start, 2, groups[j][1]))
+                    if 7 <= n <= 15:
+                        found.append((start, 3, groups[j][1]))
     return found
 
 
@@ -128,6 +140,7 @@ def features(text: str, span: tuple[int, int, int]) -> list[float]:
         len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups), bool(DATE.fullmatch(s)),
         before[-1:].isalnum() or before[-1:] in ("-", "/", "."), after[:1].isalnum() or after[:1] in ("-", "/"),
         cues[kind], max(c for k, c in enumerate(cues) if k != kind), bool(AGAINST.search(before[-12:])),
+        bool(BESIDE[0].search(before)), bool(BESIDE[1].match(after)),
         "@" in s, bool(re.search(r"[\[(]\s?(?:at|dot)|\s(?:at|dot)\s", s, re.I)), bool(re.search(r"[a-z]{2,}$", s, re.I)),
     ]
 
@@ -140,8 +153,8 @@ def examples(rows: int = TRAIN_ROWS, seed: int = 7):
     number = lambda n: "".join(r.choice("0123456789") for _ in range(n))
     word = lambda: "".join(r.choice("abcdefghijklmnoprstuvwz") for _ in range(r.randint(2, 9)))
 
-    def with_luhn(n: int, good: bool) -> str:
-        stem = r.choice("3456") + number(n - 2)
+    def with_luhn(n: int, good: bool, lead: str = "3456") -> str:
+        stem = r.choice(lead) + number(n - 2)
         check = next(d for d in "0123456789" if luhn(stem + d))
         return stem + (check if good else str((int(check) + r.randint(1, 9)) % 10))
 
@@ -161,12 +174,34 @@ def examples(rows: int = TRAIN_ROWS, seed: int = 7):
             return r.choice([".".join(str(r.randint(0, 40)) for _ in range(5)), ".".join(str(r.randint(256, 999)) for _ in range(4)), ",".join([str(r.randint(1, 999))] + [number(3) for _ in range(3)])])
         if kind == 2:
             d = with_luhn(r.choice([13, 14, 15, 16, 16, 16, 19]), good)
-            return r.choice([d, grouped(d, "."), grouped(d, "  "), grouped(d, "/"), grouped(d, " - ")]) if good else r.choice([d, grouped(d, " "), grouped(d, "-"), number(r.randint(12, 19))])
+            return r.choice([d, grouped(d, "."), grouped(d, "  "), grouped(d, "/"), grouped(d, " - ")]) if good else r.choice([d, grouped(d, " "), grouped(d, "-"), with_luhn(r.randint(12, 19), False, "0123456789")])
         a, b, c = number(3), number(3), number(4)
         if good:
             return r.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"00{number(2)} {a} {b} {c}", f"0{number(3)} {number(3)} {number(4)}", f"({a}){b}{c}"])
         return r.choice([number(r.randint(7, 15)), f"{r.randint(1900, 2099)}-{r.randint(10, 12)}-{r.randint(10, 28)}", f"{number(2)}.{number(3)},{number(2)}", f"{r.randint(1, 9)},{number(3)},{number(3)}", f"{number(4)}-{number(4)}", f"{number(5)}/{number(5)}", f"{r.randint(1900, 2099)} {r.randint(1900, 2099)}", f"{number(3)} {number(5)}"])
 
+    def run(kind: int, good: bool) -> tuple[str, int, int]:
+        """Numbers side by side, and the place of one of them, or of a stretch of groups that is none of them."""
+        phone = lambda: (f"+{r.randint(1, 99)} " if r.random() < 0.5 else "") + make(3, True)
+        first = phone() if kind == 3 else grouped(with_luhn(16, True, "123456789"), r.choice(["", " ", "-"]))
+        if not good and r.random() < 0.4:  # a list of numbers, of which some stretch may pass for a card
+            s = r.choice([" ", ", ", "  "]).join(str(r.randint(0, r.choice([9, 99, 999, 9999]))) for _ in range(r.randint(6, 20)))
+            spans = [(a, b) for a, k, b in proposals(s) if k == kind]
+            spans = [x for x in spans if luhn("".join(DIGIT.findall(s[slice(*x)])))] or spans
+            if spans:
+                return s, *r.choice(spans)
+        then = r.choice(["same", "same", "code", "digits", "ip"])
+        other = {"ip": ".".join(str(r.randint(0, 255)) for _ in range(4)), "same": phone() if kind == 3 else re.sub("[0-9]", lambda _: number(1), first), "code": number(3), "digits": number(r.randint(4, 16))}[then]
+        sep = r.choice([" ", ", ", " / ", "  "] if kind == 3 else [" ", " ", ", ", "  "])
+        parts = [first, other] if r.random() < 0.6 else [other, first]
+        s = sep.join(parts)
+        at = 0 if parts[0] is first else len(other) + len(sep)
+        truth = {(at, at + len(first))} | ({(len(s) - len(other) if at == 0 else 0, len(s) if at == 0 else len(other))} if then == "same" else set())
+        wrong = sorted({(a, b) for a, k, b in proposals(s) if k == kind} - truth)
+        if good:
+            return s, at, at + len(first)
+        return (s, *r.choice(wrong)) if wrong else ((t := make(kind, False)), 0, len(t))
+
     cue = [["mail me at ", "contact: ", "e-mail "], ["ip ", "host ", "server address "], ["card ", "visa ", "credit card no "], ["call ", "phone: ", "tel. "]]
     wrong = ["order ", "isbn ", "version ", "serial no. ", "total $", "page ", "ref "]
     made = []
@@ -175,11 +210,12 @@ def examples(rows: int = TRAIN_ROWS, seed: int = 7):
         said = r.random() < (0.6 if good else 0.15)
         before = " ".join(word() for _ in range(r.randint(0, 6))) + " "
         before += r.choice(cue[kind]) if said else (r.choice(wrong) if not good and r.random() < 0.5 else "")
-        s = make(kind, good)
-        if kind == 3 and good and not said and re.fullmatch("[0-9. ]+", s):
+        beside = kind > 1 and r.random() < 0.3
+        s, a, b = run(kind, good) if beside else ((t := make(kind, good)), 0, len(t))
+        if kind == 3 and good and not said and re.fullmatch("[0-9. ]+", s[a:b]):
             continue  # bare digits without a cue could be anything
         text = before + s + " " + " ".join(word() for _ in range(r.randint(0, 6)))
-        made.append((text, (len(before), kind, len(before) + len(s)), good))
+        made.append((text, (len(before) + a, kind, len(before) + b), good))
     return made
 
 
