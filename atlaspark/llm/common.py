@@ -1,7 +1,13 @@
-"""What the operators share: table access, the shared folder, ASCII folding."""
+"""What the operators share: table access, the shared folder, slices of Arrow batches, ASCII folding.
+
+Tables are written to the folder named in spark.checkpoint.dir. Where none is
+named, a local session uses a temporary folder of its own; on a cluster, whose
+machines would not see each other's files, that is an error.
+"""
 
 from __future__ import annotations
 
+import re
 import string
 import tempfile
 import uuid
@@ -10,14 +16,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+SLICE = 2 << 20  # bytes of text handled at once
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); one of our own only where the session names none."""
+    """The folder that all executors share (spark.checkpoint.dir); one of our own only where a local session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="checkpoint-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -42,6 +53,24 @@ def drop_path(spark: SparkSession, df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def slices(batches, column: int, most: int = SLICE):
+    """The batches in slices of about `most` bytes of a text column, so that what is built for one is bounded however long texts are.
+
+    A text longer than that has a slice to itself with what stands before it. Memory that
+    Arrow keeps for later is given back at the end.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // most)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+            yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(c, string.ascii_uppercase, string.ascii_lowercase)

@@ -9,7 +9,8 @@ is. Items of fewer words are one window each, met by the hash of all of it.
 
 A bitmap of fixed size (BITS) over the benchmark's hashes travels to the
 document side and drops k-grams that cannot meet; it can let others through,
-which the join removes. Hot k-grams are dealt over SALTS keys.
+which the join removes. k-grams that documents hold more than HOT times are dealt
+over SALTS keys.
 
 Null or wordless texts have no words and no hits. Items without item_id are left out;
 repeated items count once. Every document row gives one row, repeated or
@@ -25,7 +26,7 @@ import zlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atlaspark.llm.common import materialise, table
+from atlaspark.llm.common import materialise, slices, table
 
 SPAN = 8  # words in a window
 GRAM = 5
@@ -33,6 +34,7 @@ WINNOW = SPAN - GRAM + 1
 SIDE = SPAN - GRAM  # words kept on either side of a k-gram
 BITS = 1 << 23
 SALTS = 16
+HOT = 10_000  # hits from which a k-gram is dealt out
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 HIT = "struct<gram:int,pos:int,hash:long,words:array<string>,left:array<string>,right:array<string>>"
@@ -108,7 +110,7 @@ def hit_table(df: DataFrame, key: str, short: list[int], whole: bool, bitmap=Non
         strings = pa.list_(pa.string())
         hit = pa.list_(pa.struct([("gram", pa.int32()), ("pos", pa.int32()), ("hash", pa.int64()), ("words", strings), ("left", strings), ("right", strings)]))
         bits = None if bitmap is None else np.frombuffer(bitmap.value, np.uint64)
-        for batch in batches:
+        for batch in slices(batches, 1):
             counts, hits = [], []
             for text in batch.column(1):
                 words = words_of(text.as_py())
@@ -157,9 +159,11 @@ def find_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         "hit",
         F.coalesce("hit.hash", F.xxhash64("doc.row")).alias("hash"),
         F.coalesce("hit.gram", F.lit(0)).alias("gram"),
-        F.pmod(F.xxhash64("doc.row"), F.lit(SALTS)).cast("int").alias("salt"),
     )
-    salted = grams.select("hash", "gram", "item_id", *[F.col(c).alias(f"item_{c}") for c in ("words", "left", "right")], F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
+    rows = materialise(rows, "document-grams")
+    hot = materialise(rows.where("hit is not null").groupBy("hash", "gram").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("hash", "gram", F.lit(SALTS).alias("salts")), "hot-grams")
+    rows = rows.join(hot, ["hash", "gram"], "left").withColumn("salt", F.pmod(F.xxhash64("doc.row"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    salted = grams.join(hot, ["hash", "gram"], "left").select("hash", "gram", "item_id", *[F.col(c).alias(f"item_{c}") for c in ("words", "left", "right")], F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
     met = rows.join(salted, ["hash", "gram", "salt"], "left")
     same = F.col("hit.words") == F.col("item_words")
     left, right = run_length(F.col("hit.left"), F.col("item_left")), run_length(F.col("hit.right"), F.col("item_right"))

@@ -5,7 +5,7 @@ spaced truncated minima: K = clip(floor(1 - log_BASE(h))), h the least of
 exponential values, one stream of hashes per register. Registers of a union are
 the maxima of the parts' registers, and two documents agree in a register with a
 chance close to their Jaccard similarity. BAND registers at a time form a
-bucket key; at similarity 0.8 the chance to share no key is below one in a
+bucket key; at similarity 0.8 the chance to share no key is below two in a
 million.
 
 Inside a bucket nobody meets everybody. Every member is first held against the
@@ -17,7 +17,11 @@ set sizes, dropped only if far below the threshold (MARGIN, about eight standard
 errors), and verified on the full sets. So links between different texts decide
 the components, though never all pairs of a group are listed.
 
-Equal word sequences are one class from the start, whatever their number.
+Equal word sequences are one class from the start. A task sketches each class
+once, as far as it remembers (SEEN classes), so keys and traits have a row per
+class and task, however many copies there are; only the last join, which names
+every document's component, brings copies to their class's row, and there Spark
+may split a class over tasks (spark.sql.adaptive.skewJoin).
 A document without words or text has an empty set and is linked with nothing;
 one with fewer words than a shingle has all its words as its only shingle.
 Rows without doc_id take part, but never name a component (component_id is null
@@ -30,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from atlaspark.llm.common import materialise, table
+from atlaspark.llm.common import materialise, slices, table
 from atlaspark.llm.components import components
 
 REGISTERS, BAND = 264, 6
@@ -39,6 +43,8 @@ LEVEL = 80  # hundredths of similarity
 MARGIN = 0.2  # estimates this far below the level are not verified
 SIGNATURE = 32  # 64-bit words in a set signature
 MAP_BITS = 1 << 24
+SEEN = 500_000  # classes a task remembers
+PAIRS = 1024  # pairs estimated at once
 
 SKETCH = "id binary, doc_id long, doc_hash long, n_shingles long, signature array<long>, registers binary, bands array<long>"
 
@@ -131,29 +137,31 @@ def estimate(a, b, na, nb):
 
 
 def sketch(docs: DataFrame, width: int) -> DataFrame:
-    """One row per document; documents of one word sequence share id."""
+    """One row per document; documents of one word sequence share id, and within a task only its first has signature, registers and bands."""
 
     def run(batches):
         import pyarrow as pa
 
-        sketcher = Sketcher()
-        for batch in batches:
+        sketcher, seen, longs = Sketcher(), set(), pa.list_(pa.int64())
+        for batch in slices(batches, 2):
             ids, sizes, marks, registers, bands = [], [], [], [], []
             for text in batch.column(2):
                 words = words_of(text.as_py())
-                s = shingles(words, width)
                 ids.append(class_of(words))
+                s = shingles(words, width)
                 sizes.append(len(s))
-                if len(s):
+                if len(s) and ids[-1] not in seen:
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(ids[-1])
                     r = sketcher.registers(s)
                     registers.append(r.tobytes())
                     bands.append(sketcher.bands(r))
                     marks.append(signature(s))
                 else:
-                    registers.append(b"")
-                    bands.append([])
-                    marks.append([0] * SIGNATURE)
-            longs = pa.list_(pa.int64())
+                    registers.append(None)
+                    bands.append(None)
+                    marks.append(None)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), *batch.columns[:2], pa.array(sizes, pa.int64()), pa.array(marks, longs), pa.array(registers, pa.binary()), pa.array(bands, longs)], names=["id", "doc_id", "doc_hash", "n_shingles", "signature", "registers", "bands"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("doc_hash"), "text").mapInArrow(run, SKETCH)
@@ -174,7 +182,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
         import pyarrow as pa
 
         own = np.frombuffer(bits.value, np.uint64)
-        for batch in batches:
+        for batch in slices(batches, 1):
             at = batch.column(2).to_numpy()
             on = (own[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) != 0
             ids, sets = [], []
@@ -196,15 +204,10 @@ def verified(pairs: DataFrame, traits: DataFrame, docs: DataFrame, width: int, l
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (x.slice(at, PAIRS) for x in batches for at in range(0, x.num_rows, PAIRS)):
             a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(batch.num_rows, -1) for i in (3, 5))
             na, nb = (batch.column(i).to_numpy().astype(float) for i in (2, 4))
-            keep = np.zeros(batch.num_rows, bool)
-            for at in range(0, batch.num_rows, 1024):
-                s = slice(at, at + 1024)
-                keep[s] = estimate(a[s], b[s], na[s], nb[s]) >= level / 100 - MARGIN
+            keep = estimate(a, b, na, nb) >= level / 100 - MARGIN
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
 
     first, second = pairs.join(side("a"), "a"), side("b").withColumnRenamed("b", "other")
@@ -230,11 +233,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, level: int = LEVEL) -> Data
     classes = rows.groupBy("id").agg(F.min_by("doc_id", order).alias("doc_id"), F.max("n_shingles").alias("n_shingles"))
     classes = materialise(classes, "classes")
 
-    # Band keys name classes; copies of a class fall together before the shuffle.
-    keys = rows.select("id", F.explode("bands").alias("key"))
+    # Band keys name classes: copies have none of their own.
+    drawn = rows.where("bands is not null")
+    keys = drawn.select("id", F.explode("bands").alias("key"))
     shared = materialise(keys.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("other")).where("pivot <> other").select("key", "pivot"), "buckets")
     entries = materialise(keys.join(shared, "key").groupBy("key", "id").agg(F.first("pivot").alias("pivot")), "entries")
-    traits = rows.join(entries.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.first("registers").alias("registers"))
+    traits = drawn.join(entries.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.first("registers").alias("registers"))
     traits = materialise(traits.join(classes.select("id", "doc_id"), "id"), "traits")
     stars = materialise(entries.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(), "stars")
     links = verified(stars, traits, docs, width, level)
@@ -244,7 +248,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, level: int = LEVEL) -> Data
     largest = homes.groupBy("key", "home").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("home", F.struct("n", "home")).alias("main"), F.count("*").alias("homes")).where("homes > 1").select("key", "main")
     mixed = materialise(homes.join(largest, "key"), "mixed")
     # A pair that shares several keys is taken under the first of them only.
-    own = rows.groupBy("id").agg(F.first("bands").alias("bands")).join(mixed.select("id").distinct(), "id", "left_semi")
+    own = drawn.groupBy("id").agg(F.first("bands").alias("bands")).join(mixed.select("id").distinct(), "id", "left_semi")
     mixed_traits = mixed.join(traits.select("id", "n_shingles", "signature").join(own, "id"), "id").withColumn("nth", F.array_position("bands", F.col("key")))
     side = lambda x: [F.col("id").alias(x), F.col("home").alias(f"h{x}"), F.col("n_shingles").alias(f"n{x}"), F.col("signature").alias(f"g{x}"), F.slice("bands", F.lit(1), F.col("nth").cast("int") - 1).alias(f"k{x}")]
     one = mixed_traits.where("home <> main").select("key", *side("a"))
@@ -267,7 +271,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, level: int = LEVEL) -> Data
 
 
 def keep_one(docs: DataFrame, width: int = 5, level: int = LEVEL) -> DataFrame:
-    """docs with one document of each component: the least doc_id (rows without one come last), then the least text hash. Documents with an empty set all stay."""
+    """docs with one document of each component: the least doc_id (rows without one come last), then the least text hash, then the least JSON of the other columns. Documents with an empty set all stay."""
     marks = materialise(near_duplicates(docs, width, level).select("doc_id", "doc_hash", "group"), "marks")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "doc_hash"))
     chosen = marks.where("group is not null").groupBy("group").agg(first.alias("first")).select("first.doc_id", "first.doc_hash", F.lit(True).alias("full"))
@@ -275,8 +279,9 @@ def keep_one(docs: DataFrame, width: int = 5, level: int = LEVEL) -> DataFrame:
     chosen = chosen.select(F.coalesce("doc_id", F.lit(0)).alias("k0"), F.col("doc_id").isNull().alias("k1"), F.col("doc_hash").alias("k2"), "full").alias("c")
     d = docs.alias("d")
     met = d.join(chosen, (F.coalesce(F.col("d.doc_id").cast("long"), F.lit(0)) == F.col("c.k0")) & (F.col("d.doc_id").isNull() == F.col("c.k1")) & (F.xxhash64("d.text") == F.col("c.k2")))
-    nth = F.row_number().over(Window.partitionBy("c.k0", "c.k1", "c.k2").orderBy("c.k0"))
     own = F.struct(*[F.col(f"d.`{c}`").alias(c) for c in docs.columns])
+    rest = [F.col(f"d.`{c}`").alias(c) for c in docs.columns if c != "text"]
+    nth = F.row_number().over(Window.partitionBy("c.k0", "c.k1", "c.k2").orderBy(F.to_json(F.struct(*rest)), "d.text"))
     return met.select(own.alias("own"), nth.alias("nth"), F.col("c.full").alias("full")).where("nth = 1 or not full").select("own.*")
 
 

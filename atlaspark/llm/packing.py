@@ -30,7 +30,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from atlaspark.llm.common import materialise, table
+from atlaspark.llm.common import materialise, slices, table
 from atlaspark.llm.tokens import END_ID, encoder, vocabulary_path
 
 WINDOW = 2048
@@ -54,7 +54,7 @@ def cut_pieces(docs: DataFrame, path: str | None = None, window: int = WINDOW, g
         import pyarrow as pa
 
         coder, end = encoder(path), END_ID.to_bytes(4, "little")
-        for batch in batches:
+        for batch in slices(batches, 1):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = coder.ids(text.as_py()) + end

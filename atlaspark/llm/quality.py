@@ -24,7 +24,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atlaspark.llm.common import table
+from atlaspark.llm.common import slices, table
 
 THRESHOLD = 0.3
 SAMPLE = 20_000
@@ -124,7 +124,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> BradleyTe
     def measure(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches, 2):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([text_features(t.as_py()) for t in batch.column(2)], pa.list_(pa.float64()))], names=["doc_id", "quality", "x"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -137,11 +137,12 @@ def score_documents(docs: DataFrame, model: BradleyTerry, threshold: float = THR
     """All columns of docs, and held_out, score and predicted; docs' own columns of these names give way."""
     own = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
 
+    at = own.index("text")
+
     def score(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            at = batch.schema.get_field_index("text")
+        for batch in slices(batches, at):
             scores = model.score([text_features(t.as_py()) for t in batch.column(at)])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])
 
