@@ -24,9 +24,26 @@ def test_fingerprints_match_brute_force(spark, odd_documents):
 
 def test_canonical_text(spark):
     same = ["Ａ ﬁne\u00a0 Day\n", "a fine day", " A  FINE\tDAY"]
-    rows = spark.createDataFrame([(n, t) for n, t in enumerate([*same, "a fine dáy", "a fine da\u0301y"])], "doc_id long, text string")
-    groups = {x.doc_id: x.group_id for x in fingerprint.exact_groups(rows).collect()}
-    assert groups == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3}
+    rows = spark.createDataFrame([(n, t) for n, t in enumerate([*same, "a fine dáy", "a fine da\u0301y", "straße", "STRASSE"])], "doc_id long, text string")
+    found = fingerprint.fingerprints(rows).collect()
+    assert {x.doc_id: x.group_id for x in found} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 5, 6: 5}
+    assert {x.doc_id: x.n_docs for x in found} == {0: 3, 1: 3, 2: 3, 3: 2, 4: 2, 5: 2, 6: 2}
+
+
+def test_wide_and_missing_ids(spark):
+    ids = [-(2**63), -9 * 10**18, *range(2000), 4 * 10**18, 9 * 10**18, 2**63 - 1, *[None] * 1500]
+    rows = [(i, f"text {n}") for n, i in enumerate(ids)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = fingerprint.with_next(docs).collect()
+    next_of = {x.text: x.next_text for x in got}
+    known = [t for i, t in sorted((r for r in rows if r[0] is not None), reverse=True)]
+    assert [next_of[t] for t in known[:-1]] == known[1:]
+    at, seen = known[0], []
+    while at not in seen[:1]:
+        seen.append(at)
+        at = next_of[at]
+    assert len(seen) == len(rows)
+    assert {x.doc_id for x in fingerprint.fingerprints(docs.limit(0)).collect()} == set()
 
 
 def test_chat_round_trip(spark):

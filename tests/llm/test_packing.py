@@ -87,11 +87,34 @@ def test_pack(spark, odd_documents):
     assert packing.pack(odd_documents.limit(0)).count() == 0
 
 
+def permuted(p):
+    """All numbers of a permutation, permuted, in order."""
+    at, chunk = (x.ravel() for x in np.meshgrid(np.arange(p.span), np.arange(1 << p.chunk_bits), indexing="ij"))
+    left, right = p.halves(at, chunk)
+    return [int(a) << p.half | int(b) for a, b in zip(left, right, strict=True)]
+
+
 def test_permutation():
-    for n in (1, 2, 3, 100, 1000, 4097):
-        p = shards.Permutation(n)
-        assert sorted(p(np.arange(n)).tolist()) == list(range(n))
-    assert shards.Permutation(1000, b"a")(np.arange(1000)).tolist() != shards.Permutation(1000, b"b")(np.arange(1000)).tolist()
+    for span in (1, 2, 3, 100, 1000, 4097):
+        for bits in (0, 1, 3, 8):
+            p = shards.Permutation(span, bits)
+            assert sorted(permuted(p)) == list(range(span << p.chunk_bits))
+    assert permuted(shards.Permutation(1000, 0, b"a")) != permuted(shards.Permutation(1000, 0, b"b"))
+
+
+def test_wide_ids_are_written_in_permuted_order(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(shards, "SHARD_BYTES", 1 << 10)
+    ids = [-(2**63), -9 * 10**18, *range(40), 9 * 10**18, 2**63 - 1]
+    rows = [(i, "some words " * (n % 7 * 120)) for n, i in enumerate(ids)] + [(None, f"without {n}") for n in range(60)]
+    out = shards.write_shards(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), str(tmp_path / "w")).collect()
+    assert sorted(x.slot for x in out) == list(range(len(out)))
+    p = shards.Permutation(2**64, (max(len(t) for _, t in rows) // shards.SEQUENCE).bit_length())
+    known = [x for x in sorted(out, key=lambda x: x.slot) if x.doc_id is not None]
+    left, right = p.halves(np.array([x.doc_id + 2**63 for x in known], np.uint64), np.array([x.chunk for x in known], np.uint64))
+    place = list(zip(left.tolist(), right.tolist(), strict=True))
+    assert place == sorted(place) and len({x.shard for x in out}) > 5
+    assert len({x.shard for x in out if x.doc_id is None}) > 5
+    assert not list((tmp_path / "w").glob("_*"))
 
 
 def test_shards_hold_every_sequence(spark, odd_documents, tmp_path, monkeypatch):
