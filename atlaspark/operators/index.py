@@ -22,6 +22,13 @@ class Index:
     postings: DataFrame  # field, term, doc_id, tf, len
     stats: DataFrame  # one row: n_docs, avg_name, avg_address, avg_doc
     docs: DataFrame
+    tokens: DataFrame | None = None  # the token stream, while the index is not stored
+
+    def of_terms(self, terms: DataFrame) -> DataFrame:
+        """Postings of the terms only. Without a stored index, tokens are chosen before they are counted."""
+        if self.tokens is None:
+            return self.postings.join(terms, "term", "left_semi")
+        return counted(self.tokens.join(terms, "term", "left_semi"))
 
 
 def token_stream(docs: DataFrame, keep_digits: bool = False) -> DataFrame:
@@ -30,8 +37,12 @@ def token_stream(docs: DataFrame, keep_digits: bool = False) -> DataFrame:
     return docs.select("doc_id", F.inline(fields)).select("field", "doc_id", F.size("words").alias("len"), F.posexplode("words").alias("pos", "term"))
 
 
+def counted(stream: DataFrame) -> DataFrame:
+    return stream.groupBy("field", "term", "doc_id").agg(F.count("*").alias("tf"), F.max("len").alias("len"))
+
+
 def postings(docs: DataFrame, keep_digits: bool = False) -> DataFrame:
-    return token_stream(docs, keep_digits).groupBy("field", "term", "doc_id").agg(F.count("*").alias("tf"), F.max("len").alias("len"))
+    return counted(token_stream(docs, keep_digits))
 
 
 def field_lengths(docs: DataFrame, keep_digits: bool = False) -> DataFrame:
@@ -46,7 +57,8 @@ def statistics(docs: DataFrame, keep_digits: bool = False) -> DataFrame:
 
 
 def build_index(docs: DataFrame, keep_digits: bool = False) -> Index:
-    return Index(postings(docs, keep_digits), statistics(docs, keep_digits), docs)
+    stream = token_stream(docs, keep_digits)
+    return Index(counted(stream), statistics(docs, keep_digits), docs, stream)
 
 
 def save_index(index: Index, path: str) -> None:
@@ -56,6 +68,18 @@ def save_index(index: Index, path: str) -> None:
     index.docs.write.mode("overwrite").parquet(f"{path}/docs")
 
 
+def upsert_documents(spark: SparkSession, path: str, changed: DataFrame) -> None:
+    """Replaces or adds documents of a stored index by doc_id; the new index is written beside the old one, then takes its place."""
+    old = spark.read.parquet(f"{path}/docs")
+    docs = old.join(changed.select("doc_id"), "doc_id", "left_anti").unionByName(changed.select(*old.columns))
+    save_index(build_index(docs), f"{path}.new")
+    jvm = spark.sparkContext._jvm
+    here, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.new")
+    fs = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(here, True)
+    fs.rename(new, here)
+
+
 def load_index(spark: SparkSession, path: str) -> Index:
     return Index(*[spark.read.parquet(f"{path}/{t}") for t in ("postings", "stats", "docs")])
 
@@ -67,12 +91,13 @@ def posting_list(index: Index, field: str, term: str) -> DataFrame:
 
 def document_frequency(index: Index) -> DataFrame:
     """term, df: documents with the term in any field."""
-    return index.postings.groupBy("term").agg(F.count_distinct("doc_id").alias("df"))
+    rows = index.postings if index.tokens is None else index.tokens
+    return rows.select("term", "doc_id").distinct().groupBy("term").agg(F.count("*").alias("df"))
 
 
 def dictionary(index: Index) -> DataFrame:
     """All terms, once."""
-    return index.postings.select("term").distinct()
+    return (index.postings if index.tokens is None else index.tokens).select("term").distinct()
 
 
 def run_lengths(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:

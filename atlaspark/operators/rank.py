@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from atlaspark.functions.text import tokens
 from atlaspark.operators.index import Index
+from atlaspark.operators.storage import broadcast_if_small
 
 # Weights and saturation of the three rankers.
 K1, B, DELTA = 1.2, 0.98, 1.0
@@ -26,7 +27,7 @@ def matched(index: Index, terms: DataFrame) -> DataFrame:
     """query_id, term, doc_id, qn (occurrences in the query), df, tf and len by field, and the statistics."""
     wanted = terms.groupBy("query_id", "term").agg(F.count("*").alias("qn"))
     of = lambda c, f: F.coalesce(F.max(F.when(F.col("field") == f, F.col(c))), F.lit(0))
-    rows = index.postings.join(wanted.select("term").distinct(), "term", "left_semi")
+    rows = index.of_terms(broadcast_if_small(wanted.select("term").distinct()))
     rows = rows.groupBy("term", "doc_id").agg(*[of(c, f).alias(f"{c}_{f}") for c in ("tf", "len") for f in ("name", "address")])
     df = rows.groupBy("term").agg(F.count("*").alias("df"))
     return rows.join(df, "term").join(wanted, "term").crossJoin(F.broadcast(index.stats.limit(1)))

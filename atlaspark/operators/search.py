@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from atlaspark.operators import index as ix
@@ -79,3 +79,17 @@ def autocomplete(queries: DataFrame, index: ix.Index, counts: DataFrame, channel
 
 def language_model(index: ix.Index) -> DataFrame:
     return lm.ngram_counts(lm.corpus(index.docs))
+
+
+def save_model(path: str, index: ix.Index, counts: DataFrame, channel: spell.Channel) -> None:
+    """Writes index, n-gram counts and channel under path, overwriting it."""
+    ix.save_index(index, f"{path}/index")
+    tables = {"counts": counts, "unigram": channel.unigram, "bigram": channel.bigram, "edit": channel.edit, "alphabet": channel.alphabet}
+    for name, table in tables.items():
+        table.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def load_model(spark: SparkSession, path: str) -> tuple[ix.Index, DataFrame, spell.Channel]:
+    """What save_model() wrote."""
+    counts, *channel = (spark.read.parquet(f"{path}/{name}") for name in ("counts", "unigram", "bigram", "edit", "alphabet"))
+    return ix.load_index(spark, f"{path}/index"), counts, spell.Channel(*channel)

@@ -1,17 +1,59 @@
-"""Cutting lineage between rounds of an iteration."""
+"""Tables in the folder that executors share: cut lineage, and artefacts built once."""
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_BUILT: dict[tuple, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; one of our own only where a local session names none."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="checkpoint-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the folder that executors share (spark.checkpoint.dir; one of our own only where the session names none)."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+    """df written to the shared folder and read back, each part computed once."""
+    path = new_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def built_once(spark: SparkSession, name: str, inputs: list[str], build: Callable[[str], None]) -> str:
+    """The folder of an artefact that build(path) writes, built anew only for other inputs: other paths, lengths or times of change."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def state(path: str) -> tuple:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(conf)
+        return path, fs.getFileStatus(p).getModificationTime(), fs.getContentSummary(p).getLength()
+
+    key = (spark.sparkContext.applicationId, name, *map(state, inputs))
+    if key not in _BUILT:
+        path = new_path(spark, name)
+        build(path)
+        _BUILT[key] = path
+    return _BUILT[key]
+
+
+def broadcast_if_small(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """df as a table of its own, marked for broadcast only if it has at most so many rows."""
+    from pyspark.sql import functions as F
+
+    df = checkpointed(df)
+    return F.broadcast(df) if df.count() <= rows else df

@@ -10,7 +10,7 @@ from atlaspark.functions.edits import edit_of
 from atlaspark.functions.text import capitalize, tokens
 from atlaspark.operators import boolean, enrich, fence, lm, rank, search, spatial, spell
 from atlaspark.operators import index as ix
-from atlaspark.operators.storage import checkpointed
+from atlaspark.operators.storage import built_once
 from atlaspark.plans import inputs as i
 from atlaspark.plans.inputs import CIRCLES, CORPUS, PLACES, POSITIONS, REGIONS, STATIONS, STREETS, sql_destination, sql_haversine, sql_lat, sql_lon, sql_project, sql_tokens
 
@@ -36,6 +36,12 @@ def the_index(spark: SparkSession, sf_dir: str) -> ix.Index:
     return ix.build_index(i.corpus(spark, sf_dir))
 
 
+def stored_index(spark: SparkSession, sf_dir: str) -> ix.Index:
+    """The documents' index, built by the first query that asks for it and read by all others."""
+    path = built_once(spark, "index", [f"{sf_dir}/documents.parquet"], lambda path: ix.save_index(the_index(spark, sf_dir), path))
+    return ix.load_index(spark, path)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25f_topk(spark, sf_dir)
 
@@ -91,7 +97,7 @@ def ranking_sql(score: str, k: int, offset: int) -> str:
 
 
 def ranking(spark, sf_dir, ranker, k=10, offset=0):
-    index = the_index(spark, sf_dir)
+    index = stored_index(spark, sf_dir)
     found = rank.top_documents(index, rank.query_terms(i.benchmark_queries(spark, sf_dir)), ranker, k, offset)
     return rounded(found, "score").select("query_id", "rank", "doc_id", "name", "score")
 
@@ -182,9 +188,8 @@ pr AS (SELECT id, coalesce(nullif(a.cnt / b.cnt::double, 0), nullif(0.4 * c.cnt
 
 @query("lm_stupid_backoff", f"WITH {CORPUS}, {SEQ}, {COUNTS}, {BACKOFF} SELECT id, CASE WHEN count(*) = count(p) THEN round(sum(ln(p)), 6) ELSE '-inf'::double END AS logp FROM pr GROUP BY id")
 def lm_stupid_backoff(spark, sf_dir):
-    counts = lm.ngram_counts(lm.corpus(i.corpus(spark, sf_dir)))
     asked = i.benchmark_queries(spark, sf_dir).select(F.col("query_id").alias("id"), tokens(F.col("text")).alias("words"))
-    return rounded(lm.sequence_log_probability(asked, counts), "logp")
+    return rounded(lm.sequence_log_probability(asked, None, corpus=lm.corpus(i.corpus(spark, sf_dir))), "logp")
 
 
 # --- spelling
@@ -259,7 +264,7 @@ MISSPELT = f"{PART_WORDS}, ms AS (SELECT DISTINCT w[1:length(w) - 1] AS word FRO
 
 def fuzzy_query(d: int):
     def run(spark, sf_dir):
-        return spell.fuzzy_candidates(misspelt(spark, sf_dir), ix.dictionary(the_index(spark, sf_dir)), d)
+        return spell.fuzzy_candidates(misspelt(spark, sf_dir), ix.dictionary(stored_index(spark, sf_dir)), d)
 
     return run
 
@@ -271,7 +276,7 @@ for _d in (1, 2):
 @query("prefix_candidates", f"WITH {CORPUS}, {PART_WORDS}, ms AS (SELECT DISTINCT w[1:2] AS word FROM pw), voc AS (SELECT DISTINCT term FROM tok) SELECT word, term FROM ms, voc WHERE starts_with(term, word)")
 def prefix_candidates(spark, sf_dir):
     starts = part_words(spark, sf_dir).select(F.substring("w", 1, 2).alias("word"))
-    return spell.prefix_candidates(starts, ix.dictionary(the_index(spark, sf_dir)))
+    return spell.prefix_candidates(starts, ix.dictionary(stored_index(spark, sf_dir)))
 
 
 def typed_queries(spark, sf_dir):
@@ -280,11 +285,13 @@ def typed_queries(spark, sf_dir):
 
 
 def shop_model(spark, sf_dir):
-    """Index, language model and channel, each written once, as an offline build would leave them."""
-    index = ix.build_index(i.shop(spark, sf_dir))
-    index = ix.Index(checkpointed(index.postings), checkpointed(index.stats), index.docs)
-    channel = spell.build_channel(spellings(spark, sf_dir))
-    return index, checkpointed(search.language_model(index)), spell.Channel(*[checkpointed(t) for t in (channel.unigram, channel.bigram, channel.edit, channel.alphabet)])
+    """Index, language model and channel, built by the first query that asks for them and read by all others."""
+
+    def build(path):
+        index = ix.build_index(i.shop(spark, sf_dir))
+        search.save_model(path, index, search.language_model(index), spell.build_channel(spellings(spark, sf_dir)))
+
+    return search.load_model(spark, built_once(spark, "shop", [f"{sf_dir}/part.parquet"], build))
 
 
 @query("spell_correct")
@@ -484,13 +491,12 @@ def reverse_geocode(spark, sf_dir):
     return rounded(spatial.reverse_geocode(i.stations(spark, sf_dir), i.places(spark, sf_dir)), "distance", "lat", "lon")
 
 
-@query(
-    "nearest_street",
-    f"""WITH {PLACES}, {STREETS}, c AS (SELECT doc_id, street_id, lat, lon, mlat, mlon FROM places, streets WHERE {sql_overlap(sql_box("lat", "lon", 1.0), ("(mlat - 0.0001)", "(mlon - 0.0001)", "(mlat + 0.0001)", "(mlon + 0.0001)"))}),
+NEAREST = f"""{STREETS}, c AS (SELECT doc_id, street_id, lat, lon, mlat, mlon FROM places, streets WHERE {sql_overlap(sql_box("lat", "lon", 1.0), ("(mlat - 0.0001)", "(mlon - 0.0001)", "(mlat + 0.0001)", "(mlon + 0.0001)"))}),
     f AS (SELECT *, {sql_project("lat", "lon", ("(mlat - 0.002::double)", "(mlon - 0.004::double)"), ("(mlat + 0.002::double)", "(mlon + 0.004::double)"))} AS f FROM c),
-    g AS (SELECT doc_id, street_id, {sql_haversine("lat", "lon", "f.f.lat", "f.f.lon")} AS distance FROM f), h AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY distance, street_id) AS rn FROM g)
-    SELECT doc_id, street_id, round(distance, 6) AS distance FROM h WHERE rn = 1""",
-)
+    g AS (SELECT doc_id, street_id, {sql_haversine("lat", "lon", "f.f.lat", "f.f.lon")} AS distance FROM f), h AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY distance, street_id) AS rn FROM g)"""
+
+
+@query("nearest_street", f"WITH {PLACES}, {NEAREST} SELECT doc_id, street_id, round(distance, 6) AS distance FROM h WHERE rn = 1")
 def nearest_street(spark, sf_dir):
     points = i.places(spark, sf_dir).select(F.col("doc_id").alias("query_id"), "lat", "lon")
     return rounded(spatial.nearest_street(points, i.streets(spark, sf_dir)), "distance").select(F.col("query_id").alias("doc_id"), "street_id", "distance")
@@ -571,12 +577,16 @@ def upper_median_center(spark, sf_dir):
     return rounded(found.select("n_nationkey", geo.upper_median(F.col("a")).alias("lat"), geo.upper_median(F.col("o")).alias("lon")), "lat", "lon")
 
 
-@query("address_region", f"WITH {INSIDE}, o AS (SELECT doc_id, min(region_id) AS region_id FROM wn WHERE w <> 0 GROUP BY doc_id) SELECT p.doc_id, ', ' || coalesce(upper(n_name[1:1]) || lower(n_name[2:]) || ', Sub one, , Province x', '') AS address FROM places p LEFT JOIN o USING (doc_id) LEFT JOIN nation ON region_id = n_nationkey")
+ADDRESS = f"""WITH {INSIDE}, {NEAREST}, o AS (SELECT doc_id, min(region_id) AS region_id FROM wn WHERE w <> 0 GROUP BY doc_id)
+SELECT p.doc_id, coalesce(t.name, '') || ', ' || coalesce(upper(n_name[1:1]) || lower(n_name[2:]) || ', Sub one, , Province x', '') AS address
+FROM places p LEFT JOIN o USING (doc_id) LEFT JOIN nation ON region_id = n_nationkey LEFT JOIN (SELECT doc_id, street_id FROM h WHERE rn = 1) USING (doc_id) LEFT JOIN streets t USING (street_id)"""
+
+
+@query("address_region", ADDRESS)
 def address_region(spark, sf_dir):
-    """Addresses of places without a street near them."""
+    """Addresses of places: the nearest street, if there is one near, and the region that holds them."""
     rows = i.places(spark, sf_dir).withColumn("tags", F.create_map(F.lit("a"), F.lit("b")))
-    none = i.streets(spark, sf_dir).withColumn("mid_lat", F.col("mid_lat") + 40)
-    return enrich.addresses(rows, none, i.regions(spark, sf_dir)).select("doc_id", "address")
+    return enrich.addresses(rows, i.streets(spark, sf_dir), i.regions(spark, sf_dir)).select("doc_id", "address")
 
 
 @query("dense_numbers", "SELECT p_partkey % 2 AS kind, p_partkey AS id, row_number() OVER (ORDER BY p_partkey % 2, p_partkey) - 1 AS doc_id FROM part")
