@@ -65,10 +65,25 @@ def statuses(was_inside: Column, inside: Column, crosses: Column) -> Column:
     )
 
 
-def with_previous(positions: DataFrame) -> DataFrame:
-    """Adds prev_lat, prev_lon (null at first sight)."""
+def with_previous(positions: DataFrame, state: DataFrame | None = None) -> DataFrame:
+    """Adds prev_lat, prev_lon (null at first sight); state (point_id, lat, lon): where objects stood before."""
     w = Window.partitionBy("point_id").orderBy("ts", "seq")
-    return positions.withColumns({"prev_lat": F.lag("lat").over(w), "prev_lon": F.lag("lon").over(w)})
+    rows = positions.withColumns({"prev_lat": F.lag("lat").over(w), "prev_lon": F.lag("lon").over(w)})
+    if state is None:
+        return rows
+    known = rows.join(state.select("point_id", F.col("lat").alias("_lat"), F.col("lon").alias("_lon")), "point_id", "left")
+    return known.withColumns({"prev_lat": F.coalesce("prev_lat", "_lat"), "prev_lon": F.coalesce("prev_lon", "_lon")}).drop("_lat", "_lon")
+
+
+def put_positions(state: DataFrame, updates: DataFrame) -> DataFrame:
+    """The state (point_id, lat, lon) with each object of updates (positions) where its last update puts it. Nothing is reported."""
+    new = last_positions(updates)
+    return state.select("point_id", "lat", "lon").join(new.select("point_id"), "point_id", "left_anti").unionByName(new)
+
+
+def get_positions(state: DataFrame, ids: DataFrame) -> DataFrame:
+    """point_id, lat, lon of the ids (point_id) that have a position."""
+    return state.select("point_id", "lat", "lon").join(ids.select("point_id").distinct(), "point_id", "left_semi")
 
 
 def last_positions(positions: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from atlaspark.functions import geo
+from atlaspark.operators.search import validate
 from atlaspark.operators.storage import checkpointed
 
 CELL = 0.05  # degrees, about 5.6 km
@@ -82,8 +83,7 @@ def nearby(points: DataFrame, objects: DataFrame, feature: str | None = None, k:
     """The k nearest objects with the feature within radius km, after `offset` of them: query_id, rank, doc_id, distance.
 
     strict_offset False: an offset past the end gives the first page."""
-    if not 0 < radius <= 1000:
-        raise ValueError("radius must be above 0 and at most 1000 km")
+    validate(k=k, offset=offset, feature=feature, radius=radius)
     found = within_radius(points, objects, F.lit(float(radius)), cell, feature)
     order = Window.partitionBy("query_id").orderBy("distance", "doc_id")
     ranked = found.withColumn("rank", F.row_number().over(order))

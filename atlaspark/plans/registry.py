@@ -593,3 +593,22 @@ def address_region(spark, sf_dir):
 def dense_numbers(spark, sf_dir):
     rows = i.table(spark, sf_dir, "part").select((F.col("p_partkey") % 2).alias("kind"), F.col("p_partkey").alias("id"))
     return enrich.number(rows, ["kind", "id"], block=100).select("kind", "id", "doc_id")
+
+
+# --- results with distances, positions put by users
+
+
+@query("user_distance", f"WITH {PLACES}, {STATIONS} SELECT p.doc_id, query_id, round({sql_haversine('s.lat', 's.lon', 'p.lat', 'p.lon')}, 6) AS distance FROM places p JOIN stations s ON query_id = p.doc_id % 10 + 1")
+def user_distance(spark, sf_dir):
+    found = i.places(spark, sf_dir).select("doc_id", (F.col("doc_id") % 10 + 1).alias("query_id"), "lat", "lon")
+    return rounded(search.with_distance(found, i.stations(spark, sf_dir)), "distance").select("doc_id", "query_id", "distance")
+
+
+LATEST = "SELECT point_id, max_by(lat, (ts, seq)) AS lat, max_by(lon, (ts, seq)) AS lon FROM pos WHERE seq % 3 {0} 0 GROUP BY point_id"
+
+
+@query("put_positions", f"WITH {POSITIONS}, a AS ({LATEST.format('<>')}), b AS ({LATEST.format('=')}) SELECT point_id, round(coalesce(b.lat, a.lat), 6) AS lat, round(coalesce(b.lon, a.lon), 6) AS lon FROM a FULL JOIN b USING (point_id)")
+def put_positions(spark, sf_dir):
+    rows = i.positions(spark, sf_dir)
+    state = fence.last_positions(rows.where("seq % 3 <> 0"))
+    return rounded(fence.put_positions(state, rows.where("seq % 3 = 0")), "lat", "lon")
