@@ -69,14 +69,14 @@ places AS (SELECT c_custkey AS doc_id, {sql_lat("c_custkey")} AS lat, {sql_lon("
 
 
 def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers as query points, some hundred metres from the place of their key, every fifth far from all: query_id, lat, lon."""
+    """Suppliers as query points, some hundred metres from the place of their key, every fifth some kilometres away: query_id, lat, lon."""
     k = F.col("s_suppkey")
-    lat = lat_of(k) + F.when(k % 5 == 0, 1.0).otherwise(0.0012) + (k % 7) * 0.0002
+    lat = lat_of(k) + F.when(k % 5 == 0, 0.02).otherwise(0.0012) + (k % 7) * 0.0002
     return table(spark, sf_dir, "supplier").select(k.alias("query_id"), lat.alias("lat"), (lon_of(k) - 0.0008).alias("lon"))
 
 
 STATIONS = f"""
-stations AS (SELECT s_suppkey AS query_id, {sql_lat("s_suppkey")} + CASE WHEN s_suppkey % 5 = 0 THEN 1.0::double ELSE 0.0012::double END + (s_suppkey % 7) * 0.0002::double AS lat, {sql_lon("s_suppkey")} - 0.0008::double AS lon FROM supplier)"""
+stations AS (SELECT s_suppkey AS query_id, {sql_lat("s_suppkey")} + CASE WHEN s_suppkey % 5 = 0 THEN 0.02::double ELSE 0.0012::double END + (s_suppkey % 7) * 0.0002::double AS lat, {sql_lon("s_suppkey")} - 0.0008::double AS lon FROM supplier)"""
 
 
 def circles(spark: SparkSession, sf_dir: str) -> DataFrame:
