@@ -45,6 +45,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of queries that are over, which it does when the driver's JVM collects garbage."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_path(spark: SparkSession, df: DataFrame) -> None:
     """Deletes the files under a DataFrame that materialise() made, once nothing reads it any more."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:

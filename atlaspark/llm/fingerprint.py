@@ -36,17 +36,15 @@ def digest(canon: Column) -> Column:
     return F.lower(F.concat(*[F.lpad(F.hex(h), 16, "0") for h in wide]))
 
 
-def exact_groups(keyed: DataFrame, docs: DataFrame) -> DataFrame:
+def exact_groups(docs: DataFrame) -> DataFrame:
     """fingerprint, check, group_id (smallest doc_id with the same canonical bytes), n_docs: one row per group of at least two.
 
-    keyed: a table of doc_id and fingerprint. Only documents whose digest occurs
-    more than once are grouped by digest and then by canonical bytes; copies fall
-    together before the shuffle. check: SHA-256 of the bytes, which names the group
-    in its bucket.
+    Documents are grouped by digest and, inside a digest, by canonical bytes;
+    copies fall together before the shuffle. check: SHA-256 of the bytes, which
+    names the group in its bucket.
     """
-    again = materialise(keyed.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint"), "repeated")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), canonical(F.coalesce("text", F.lit(""))).alias("canon")).withColumn("fingerprint", digest(F.col("canon")))
-    groups = texts.join(again, "fingerprint", "left_semi").groupBy("fingerprint", "canon").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("n_docs"))
+    groups = texts.groupBy("fingerprint", "canon").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("n_docs")).where("n_docs > 1")
     return groups.select("fingerprint", F.sha2("canon", 256).alias("check"), "group_id", "n_docs")
 
 
@@ -110,7 +108,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         F.sha2("canon", 256).alias("check"),
     )
     rows = materialise(rows, "fingerprints")
-    found = rows.join(exact_groups(rows.select("doc_id", "fingerprint"), docs), ["fingerprint", "check"], "left")
+    found = rows.join(exact_groups(docs), ["fingerprint", "check"], "left")
     return found.select(*[c for c in rows.columns if c != "check"], F.coalesce("group_id", "doc_id").alias("group_id"), F.coalesce("n_docs", F.lit(1)).cast("long").alias("n_docs"))
 
 
