@@ -50,12 +50,12 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def drop_path(spark: SparkSession, df: DataFrame) -> None:
-    """Deletes the files under a DataFrame that materialise() made, once nothing reads it any more."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        jvm = spark.sparkContext._jvm
+def drop_path(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes the files under DataFrames that materialise() made, once nothing reads them any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in {f.rsplit("/", 1)[0] for df in tables for f in df.inputFiles()}:
         p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        p.getFileSystem(conf).delete(p, True)
 
 
 def slices(batches, column: int, most: int = SLICE):
