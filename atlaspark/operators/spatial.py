@@ -3,7 +3,8 @@
 The earth is cut into rows of CELL degrees of latitude; a row has as many cells
 as keep them about square, so a circle needs few cells at any latitude, and
 columns wrap around. A query is expanded into the cells its circle can touch,
-meets objects by cell in an equi-join, and exact distances decide.
+meets objects by cell in an equi-join, and exact distances decide. Both sides
+are dealt by cell, since a table of few row groups is read by few tasks.
 """
 
 from __future__ import annotations
@@ -21,24 +22,24 @@ CELL = 0.05  # degrees, about 5.6 km
 KM_PER_DEGREE = geo.EARTH_KM * math.pi / 180
 
 
-def _columns(row: Column, cell: float) -> Column:
+def _columns(row: Column, cell: float | Column) -> Column:
     """How many cells a row has."""
     lat = F.least(F.abs(row * cell), F.abs((row + 1) * cell))
-    return F.greatest(F.lit(1), F.ceil(F.lit(360.0 / cell) * F.cos(F.radians(F.least(lat, F.lit(90.0)))))).cast("long")
+    return F.greatest(F.lit(1), F.ceil(360.0 / F.lit(cell) * F.cos(F.radians(F.least(lat, F.lit(90.0)))))).cast("long")
 
 
 def _column(lon: Column, count: Column) -> Column:
     return F.floor((lon + 180.0) / 360.0 * count).cast("long")
 
 
-def cell_of(lat: Column, lon: Column, cell: float = CELL) -> Column:
+def cell_of(lat: Column, lon: Column, cell: float | Column = CELL) -> Column:
     """struct(row, col) of a point."""
     row = F.floor(lat / cell).cast("long")
     n = _columns(row, cell)
     return F.struct(row.alias("row"), F.pmod(_column(lon, n), n).alias("col"))
 
 
-def cells_of_box(low_lat: Column, low_lon: Column, high_lat: Column, high_lon: Column, cell: float = CELL) -> Column:
+def cells_of_box(low_lat: Column, low_lon: Column, high_lat: Column, high_lon: Column, cell: float | Column = CELL) -> Column:
     """Array of the cells that a box touches."""
     rows = F.sequence(F.floor(low_lat / cell).cast("long"), F.floor(high_lat / cell).cast("long"))
 
@@ -65,6 +66,15 @@ def with_cells(df: DataFrame, cells: Column) -> DataFrame:
     return df.select("*", F.inline(cells))
 
 
+def dealt(df: DataFrame, *columns: str) -> DataFrame:
+    """df in spark.sql.shuffle.partitions parts by the columns; what a part costs does not follow from its bytes, so none are joined."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
+def met_by_cell(a: DataFrame, b: DataFrame) -> DataFrame:
+    return dealt(a, "row", "col").join(dealt(b, "row", "col"), ["row", "col"])
+
+
 def within_radius(points: DataFrame, objects: DataFrame, km: Column, cell: float = CELL, feature: str | None = None) -> DataFrame:
     """points (query_id, lat, lon, ...) x objects (doc_id, lat, lon, features) with centre distance <= km: query_id, doc_id, distance.
 
@@ -116,16 +126,37 @@ def nearest(points: DataFrame, objects: DataFrame, k: int, start_km: float = 2.0
         km *= growth
 
 
-def overlapping(a: DataFrame, b: DataFrame, cell: float = CELL) -> DataFrame:
+def overlapping(a: DataFrame, b: DataFrame) -> DataFrame:
     """Range join: ids a_id, b_id of boxes (id, min_lat, min_lon, max_lat, max_lon) that overlap strictly.
 
-    Both sides are listed by cell; a pair is taken only in the cell of the
-    overlap's lower corner, so no duplicates arise."""
+    Boxes are classed by size, so that one large box does not cost many cells.
+    For each two classes a box of a is in the cell of its lower corner, and a box
+    of b in the few cells where lower corners of boxes that overlap it can be;
+    so no duplicates arise."""
     box = ("min_lat", "min_lon", "max_lat", "max_lon")
-    side = lambda df, n: with_cells(df.select(F.col("id").alias(f"{n}_id"), F.struct(*[F.col(c).cast("double").alias(c) for c in box]).alias(n)), cells_of_box(*[F.col(f"{n}.{c}") for c in box], cell))
-    met = side(a.select("id", *box), "a").join(side(b.select("id", *box), "b"), ["row", "col"])
-    corner = cell_of(F.greatest("a.min_lat", "b.min_lat"), F.greatest("a.min_lon", "b.min_lon"), cell)
-    return met.where(geo.boxes_overlap(F.col("a"), F.col("b")) & (corner["row"] == F.col("row")) & (corner["col"] == F.col("col"))).select("a_id", "b_id")
+
+    def classed(df: DataFrame, n: str) -> DataFrame:
+        df = df.select(F.col("id").alias(f"{n}_id"), *[F.col(c).cast("double").alias(f"{n}_{c}") for c in box])
+        size = F.greatest(F.col(f"{n}_max_lat") - F.col(f"{n}_min_lat"), F.col(f"{n}_max_lon") - F.col(f"{n}_min_lon"), F.lit(1e-4))
+        return df.withColumn("_size", size).withColumn(f"k_{n}", F.floor(F.log2("_size")).cast("int"))
+
+    def paired(df: DataFrame, n: str, other: str) -> DataFrame:
+        """A row for each class of the other side: size_a, size_b and cell of the two classes."""
+        own = F.create_map(*[F.lit(x) for kv in largest[n].items() for x in kv])[F.col(f"k_{n}")]
+        classes = F.array(*[F.struct(F.lit(k).alias(f"k_{other}"), F.lit(size).alias(f"size_{other}")) for k, size in largest[other].items()])
+        rows = dealt(df, f"{n}_id").drop("_size").withColumn(f"size_{n}", own).select("*", F.inline(classes))
+        return rows.withColumn("cell", F.least(F.lit(90.0), F.greatest("size_a", "size_b") / 4))
+
+    a, b = classed(a, "a"), classed(b, "b")
+    largest = {n: {r[0]: r[1] * (1 + 1e-9) + 1e-9 for r in df.groupBy(f"k_{n}").agg(F.max("_size")).collect() if r[0] is not None} for n, df in (("a", a), ("b", b))}
+    if not (largest["a"] and largest["b"]):
+        return a.join(b, F.lit(False)).select("a_id", "b_id")
+    a = paired(a, "a", "b").withColumn("_c", cell_of(F.col("a_min_lat"), F.col("a_min_lon"), F.col("cell"))).select("*", "_c.row", "_c.col")
+    b = with_cells(paired(b, "b", "a"), cells_of_box(F.col("b_min_lat") - F.col("size_a"), F.col("b_min_lon") - F.col("size_a"), F.col("b_max_lat"), F.col("b_max_lon"), F.col("cell")))
+    keys = ["k_a", "k_b", "row", "col"]
+    side = lambda df, n: dealt(df.select(*keys, f"{n}_id", *[f"{n}_{c}" for c in box]), *keys)
+    met = side(a, "a").join(side(b, "b"), keys)
+    return met.where(" and ".join(f"{x}_min_{c} < {y}_max_{c}" for c in ("lat", "lon") for x, y in ("ab", "ba"))).select("a_id", "b_id")
 
 
 # Km from centre to corner of an object's box, and of the box a reverse lookup searches.
