@@ -30,6 +30,14 @@ def crowd(spark, n, seed, key="doc_id", spread=0.1):
     return rows, frame(spark, rows, key)
 
 
+def test_range_is_dealt_out(spark, met):
+    rows, objects = crowd(spark, 2000, 5)
+    asked, points = crowd(spark, 100, 6, "query_id")
+    got = {(x.query_id, x.doc_id) for x in spatial.within_radius(points, objects.coalesce(1), 2.0).collect()}
+    assert got == {(q, i) for q, a, b in asked for i, c, d in rows if km(a, b, c, d) <= 2.0}
+    assert met[0][0] < 3 * len(got) and met[0][1] > 1
+
+
 def test_overlaps_of_all_sizes(spark):
     r = random.Random(7)
     box = lambda n: (n, lat := r.uniform(-80, 80), lon := r.uniform(-170, 170), lat + (s := 10 ** r.uniform(-3, 1.5)), lon + s * r.random())
