@@ -101,6 +101,17 @@ def within_radius(points: DataFrame, objects: DataFrame, km: Column | float, cel
     return _met(p, o, F.col("km"), cell or CELL).select("query_id", "doc_id", "distance")
 
 
+def spacing(rows: DataFrame, lat: str, lon: str, k: int) -> float:
+    """km of a cell's side at which even the fullest cell holds few more than k rows; at least about 10 m, at most CELL."""
+    cell = CELL
+    while True:
+        c = cell_of(F.col(lat).cast("double"), F.col(lon).cast("double"), cell)
+        most = rows.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).groupBy(c.alias("c")).count().agg(F.max("count")).first()[0] or 0
+        if most <= 4 * k or cell <= 1e-4:
+            return cell * KM_PER_DEGREE
+        cell = max(1e-4, cell / max(1.5, math.sqrt(most / (2 * k))))
+
+
 def nearby(points: DataFrame, objects: DataFrame, feature: str | None = None, k: int = 10, radius: float = 5.0, offset: int = 0, cell: float = CELL, strict_offset: bool = True) -> DataFrame:
     """The k nearest objects with the feature within radius km, after `offset` of them: query_id, rank, doc_id, distance.
 
@@ -116,17 +127,21 @@ def nearby(points: DataFrame, objects: DataFrame, feature: str | None = None, k:
     return ranked.where((F.col("rank") > skip) & (F.col("rank") <= skip + k)).select("query_id", "rank", "doc_id", "distance")
 
 
-def nearest(points: DataFrame, objects: DataFrame, k: int, start_km: float = 2.0, growth: float = 4.0) -> DataFrame:
-    """The k nearest objects of each point (all, if there are fewer): query_id, rank, doc_id, distance.
+def nearest(points: DataFrame, objects: DataFrame, k: int, start_km: float | None = None, growth: float = 4.0, radius: float = math.inf) -> DataFrame:
+    """The k nearest objects of each point within radius km (all, if there are fewer): query_id, rank, doc_id, distance.
 
-    Rings grow until every point has k objects inside its circle; only points
-    that lack some go on, and cells grow with the circle."""
+    Rings start where the densest cells hold about k objects and grow until every
+    point has k objects inside its circle; only points that lack some go on, and
+    cells grow with the circle. So a point meets a number of objects that
+    depends on k and not on how many there are."""
     order = Window.partitionBy("query_id").orderBy("distance", "doc_id")
-    done, left, km = None, points.select("query_id", "lat", "lon"), start_km
-    half = math.pi * geo.EARTH_KM + 1.0
+    done, left = None, points.select("query_id", "lat", "lon").where("lat is not null and lon is not null")
+    last_km = min(radius, math.pi * geo.EARTH_KM + 1.0)
+    km = min(last_km, spacing(objects, "lat", "lon", max(1, k)) if start_km is None else start_km)
+    o = objects.select("doc_id", F.col("lat").cast("double").alias("olat"), F.col("lon").cast("double").alias("olon"))
     while True:
-        last = km >= half
-        found = within_radius(left, objects, F.lit(min(km, half)), min(90.0, max(CELL, km / KM_PER_DEGREE)))
+        last = km >= last_km
+        found = _met(_points(left), o, F.lit(min(km, last_km)), min(90.0, km / KM_PER_DEGREE))
         ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "distance")
         full = ranked if last else checkpointed(ranked.withColumn("_n", F.count("*").over(Window.partitionBy("query_id"))).where(F.col("_n") == k).drop("_n"))
         done = full if done is None else done.unionByName(full)

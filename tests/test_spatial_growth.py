@@ -30,6 +30,17 @@ def crowd(spark, n, seed, key="doc_id", spread=0.1):
     return rows, frame(spark, rows, key)
 
 
+def test_nearest_meets_few_in_a_crowd(spark, met):
+    rows, objects = crowd(spark, 4000, 1)
+    asked, points = crowd(spark, 200, 2, "query_id")
+    got = {(x.query_id, x["rank"]): x.doc_id for x in spatial.nearest(points, objects, 3).collect()}
+    for q, lat, lon in asked[:20]:
+        want = sorted((km(lat, lon, b, c), i) for i, b, c in rows)[:3]
+        assert [got[q, n + 1] for n in range(3)] == [i for _, i in want]
+    assert len(got) == 600 and sum(n for n, _ in met) < 200 * 300
+    assert max(parts for _, parts in met) > 1
+
+
 def test_range_is_dealt_out(spark, met):
     rows, objects = crowd(spark, 2000, 5)
     asked, points = crowd(spark, 100, 6, "query_id")
