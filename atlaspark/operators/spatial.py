@@ -112,16 +112,16 @@ def spacing(rows: DataFrame, lat: str, lon: str, k: int) -> float:
         cell = max(1e-4, cell / max(1.5, math.sqrt(most / (2 * k))))
 
 
-def nearby(points: DataFrame, objects: DataFrame, feature: str | None = None, k: int = 10, radius: float = 5.0, offset: int = 0, cell: float = CELL, strict_offset: bool = True) -> DataFrame:
+def nearby(points: DataFrame, objects: DataFrame, feature: str | None = None, k: int = 10, radius: float = 5.0, offset: int = 0, strict_offset: bool = True) -> DataFrame:
     """The k nearest objects with the feature within radius km, after `offset` of them: query_id, rank, doc_id, distance.
 
     strict_offset False: an offset past the end gives the first page."""
     validate(k=k, offset=offset, feature=feature, radius=radius)
-    found = within_radius(points, objects, F.lit(float(radius)), cell, feature)
-    order = Window.partitionBy("query_id").orderBy("distance", "doc_id")
-    ranked = found.withColumn("rank", F.row_number().over(order))
+    if feature is not None:
+        objects = objects.where(F.array_contains("features", feature))
+    ranked = nearest(points, objects, offset + k, radius=float(radius))
     skip = F.lit(offset)
-    if not strict_offset:
+    if not strict_offset:  # offset + k objects tell whether there are more than offset
         ranked = ranked.withColumn("_n", F.count("*").over(Window.partitionBy("query_id")))
         skip = F.when(F.col("_n") > offset, offset).otherwise(0)
     return ranked.where((F.col("rank") > skip) & (F.col("rank") <= skip + k)).select("query_id", "rank", "doc_id", "distance")

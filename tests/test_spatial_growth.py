@@ -41,6 +41,17 @@ def test_nearest_meets_few_in_a_crowd(spark, met):
     assert max(parts for _, parts in met) > 1
 
 
+def test_nearby_meets_few_in_a_crowd(spark, met):
+    rows, objects = crowd(spark, 4000, 3)
+    asked, points = crowd(spark, 200, 4, "query_id")
+    objects = objects.withColumn("features", F.array(F.concat(F.lit("k="), F.col("doc_id") % 2)))
+    got = {(x.query_id, x["rank"]): x.doc_id for x in spatial.nearby(points, objects, "k=1", 2, 8.0, 1).collect()}
+    for q, lat, lon in asked[:20]:
+        want = sorted((d, i) for i, b, c in rows if i % 2 and (d := km(lat, lon, b, c)) <= 8.0)[1:3]
+        assert [got.get((q, n + 2)) for n in range(len(want))] == [i for _, i in want]
+    assert sum(n for n, _ in met) < 200 * 300
+
+
 def test_range_is_dealt_out(spark, met):
     rows, objects = crowd(spark, 2000, 5)
     asked, points = crowd(spark, 100, 6, "query_id")
