@@ -49,6 +49,13 @@ def midpoint(lat1, lon1, lat2, lon2) -> tuple[Column, Column]:
     return F.degrees(lat), F.degrees(F.radians(_c(lon1)) + F.atan2(y, F.cos(a) + x))
 
 
+def between(a: str, b: str, share: Column) -> tuple[Column, Column]:
+    """(lat, lon) on the minor arc between two structs of lat and lon, at about the share of its length."""
+    u, v = (_vector(F.col(f"{s}.lat"), F.col(f"{s}.lon")) for s in (a, b))
+    x, y, z = (u[c] * (1 - share) + v[c] * share for c in "xyz")
+    return F.degrees(F.atan2(z, F.sqrt(x * x + y * y))), F.degrees(F.atan2(y, x))
+
+
 def corner_box(lat, lon, km) -> Column:
     """Box with corners km away at bearings 45 and 225: struct of min_lat, min_lon, max_lat, max_lon."""
     top, right = destination(lat, lon, 45, km)

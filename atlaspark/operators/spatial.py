@@ -190,6 +190,50 @@ def overlapping(a: DataFrame, b: DataFrame) -> DataFrame:
 OBJECT_KM, LOOKUP_KM = 0.4, 0.35
 
 
+def nearest_edge(points: DataFrame, edges: DataFrame, box_km: float, limit: float) -> DataFrame:
+    """points (query_id, lat, lon), edges (doc_id, olat, olon, obox, a, b: an arc of an object, its centre and box): query_id, doc_id, distance, lat, lon of the nearest edge's nearest spot, among objects within limit km whose box overlaps the point's of box_km. Ties by doc_id.
+
+    Edges are cut into pieces of about the points' spacing, but into no more
+    pieces than four for each row. A point meets the pieces around it, and is
+    done if an edge is as near as they reach for sure; else it goes on with a
+    circle four times as wide, and at last with the centres within limit. So
+    what a point meets follows from the pieces, not from the objects within
+    limit. Very long edges meet points by their centres each time."""
+    p = _points(points).where("plat is not null and plon is not null")
+    edges = checkpointed(edges.withColumn("_len", geo.haversine("a.lat", "a.lon", "b.lat", "b.lon")).where("_len is not null"))
+    n, total = edges.agg(F.count("*"), F.coalesce(F.sum("_len"), F.lit(0.0))).first()
+    step = max(spacing(p, "plat", "plon", 1) / 2, total / (4 * (n + p.count()) or 1), 0.004)
+    pieces = F.greatest(F.lit(1), F.ceil(F.col("_len") / step)).cast("int")
+    wide = (pieces > 1000) | (F.col("_len") > 100)
+    spot = geo.between("a", "b", (F.col("_i") + 0.5) / F.col("_n"))
+    parts = edges.where(~wide).withColumn("_n", pieces).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    parts = parts.select("doc_id", "obox", "a", "b", spot[0].alias("olat"), spot[1].alias("olon"))
+    any_wide = not edges.where(wide).isEmpty()
+    p = checkpointed(dealt(p, "query_id").withColumn("pbox", geo.corner_box("plat", "plon", box_km)))
+
+    def best(left: DataFrame, near: DataFrame, km: float) -> DataFrame:
+        rows = _met(left, near.select("doc_id", "obox", "a", "b", "olat", "olon"), F.lit(km), min(90.0, 2 * km / KM_PER_DEGREE)).where(geo.boxes_overlap(F.col("pbox"), F.col("obox")))
+        rows = rows.withColumn("f", geo.project_to_segment("plat", "plon", F.col("a"), F.col("b")))
+        hit = F.struct(geo.haversine("plat", "plon", F.col("f.lat"), F.col("f.lon")).alias("distance"), "doc_id", F.col("f.lat").alias("lat"), F.col("f.lon").alias("lon"))
+        return rows.select("query_id", hit.alias("b")).groupBy("query_id").agg(F.min("b").alias("b"))
+
+    done, left, sure = None, p, step / 2
+    while (reach := sure + step / 2 * 1.01 + 1e-4) < limit:
+        found = best(left, parts, reach)
+        if any_wide:
+            found = found.unionByName(best(left, edges.where(wide), limit)).groupBy("query_id").agg(F.min("b").alias("b"))
+        found = checkpointed(found.where(F.col("b.distance") <= sure))
+        done = found if done is None else done.unionByName(found)
+        left = checkpointed(left.join(found, "query_id", "left_anti"))
+        if left.isEmpty():
+            break
+        sure *= 4
+    else:
+        found = best(left, edges, limit)
+        done = found if done is None else done.unionByName(found)
+    return done.select("query_id", "b.doc_id", "b.distance", "b.lat", "b.lon")
+
+
 def reverse_geocode(points: DataFrame, objects: DataFrame, point_compat: bool = False) -> DataFrame:
     """Nearest object of each point (query_id, lat, lon), among objects (doc_id, lat, lon, geom) whose box overlaps the point's.
 
@@ -220,17 +264,10 @@ STREET_KM = 1.0
 
 def nearest_street(points: DataFrame, streets: DataFrame) -> DataFrame:
     """points (query_id, lat, lon), streets (street_id, mid_lat, mid_lon, first, last): query_id, street_id, distance of the street whose chord from first to last vertex is nearest, among those whose middle's box overlaps the point's."""
-    mids = streets.select(F.col("street_id").alias("doc_id"), F.col("mid_lat").alias("lat"), F.col("mid_lon").alias("lon"))
-    near = within_radius(points, mids, F.lit(STREET_KM + 0.03))
-    p = points.select("query_id", F.col("lat").cast("double").alias("plat"), F.col("lon").cast("double").alias("plon"))
-    rows = near.select("query_id", F.col("doc_id").alias("street_id")).join(streets, "street_id").join(p, "query_id")
     pad = 0.0001
-    box = F.struct((F.col("mid_lat") - pad).alias("min_lat"), (F.col("mid_lon") - pad).alias("min_lon"), (F.col("mid_lat") + pad).alias("max_lat"), (F.col("mid_lon") + pad).alias("max_lon"))
-    rows = rows.where(geo.boxes_overlap(geo.corner_box("plat", "plon", STREET_KM), box))
-    foot = geo.project_to_segment("plat", "plon", F.col("first"), F.col("last"))
-    rows = rows.withColumn("foot", foot).withColumn("distance", geo.haversine("plat", "plon", F.col("foot.lat"), F.col("foot.lon")))
-    best = rows.groupBy("query_id").agg(F.min(F.struct("distance", "street_id")).alias("b"))
-    return best.select("query_id", "b.street_id", "b.distance")
+    mid = dealt(streets, "street_id").select(F.col("street_id").alias("doc_id"), F.col("mid_lat").cast("double").alias("olat"), F.col("mid_lon").cast("double").alias("olon"), F.col("first").alias("a"), F.col("last").alias("b"))
+    box = F.struct((F.col("olat") - pad).alias("min_lat"), (F.col("olon") - pad).alias("min_lon"), (F.col("olat") + pad).alias("max_lat"), (F.col("olon") + pad).alias("max_lon"))
+    return nearest_edge(points, mid.withColumn("obox", box), STREET_KM, STREET_KM + 0.03).select("query_id", F.col("doc_id").alias("street_id"), "distance")
 
 
 REGION_CELL = 0.25

@@ -71,3 +71,25 @@ def test_overlaps_of_all_sizes(spark):
     assert len(rows) == len(want) and {tuple(x) for x in rows} == want
     assert found.select(F.spark_partition_id()).distinct().count() > 1
     assert spatial.overlapping(spark.createDataFrame([], schema), spark.createDataFrame(b, schema)).count() == 0
+
+
+def test_streets_meet_few_in_a_crowd(spark, met):
+    r = random.Random(8)
+    ends = lambda lat, lon: ((lat - 0.002, lon - 0.004), (lat + 0.002, lon + 0.004))
+    streets = [(i, lat := r.uniform(0, 0.03), lon := r.uniform(0, 0.03), *ends(lat, lon)) for i in range(400)]
+    streets.append((400, 0.0, 0.015, (0.0, -1.5), (0.0, 1.5)))  # meets points by its middle
+    table = spark.createDataFrame([(i, "", *x) for i, *x in streets], "street_id long, name string, mid_lat double, mid_lon double, first struct<lat:double,lon:double>, last struct<lat:double,lon:double>")
+    asked, points = crowd(spark, 400, 9, "query_id", 0.03)
+    got = {x.query_id: x for x in spatial.nearest_street(points, table).collect()}
+    joined = sum(n for n, _ in met)
+    assert joined < 400 * 401 / 2
+
+    def planar(lat, lon, a, b):
+        t = ((lat - a[0]) * (b[0] - a[0]) + (lon - a[1]) * (b[1] - a[1])) / ((b[0] - a[0]) ** 2 + (b[1] - a[1]) ** 2)
+        t = min(1, max(0, t))
+        return math.hypot(lat - a[0] - t * (b[0] - a[0]), lon - a[1] - t * (b[1] - a[1])) * spatial.KM_PER_DEGREE
+
+    half = 1 / spatial.KM_PER_DEGREE / math.sqrt(2) + 0.0001
+    for q, lat, lon in asked:
+        near = [planar(lat, lon, a, b) for _, y, x, a, b in streets if abs(y - lat) < half and abs(x - lon) < half]
+        assert (q in got) == bool(near) and (not near or got[q].distance == pytest.approx(min(near), abs=2e-4))
