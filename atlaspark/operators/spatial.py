@@ -276,10 +276,13 @@ REGION_CELL = 0.25
 def containing_region(points: DataFrame, regions: DataFrame, edge_bbox_shortcut: bool = False) -> DataFrame:
     """points (query_id, lat, lon), regions (region_id, ring): the least region_id whose ring holds the point; no row if none does."""
     lat, lon = F.transform("ring", lambda q: q["lat"]), F.transform("ring", lambda q: q["lon"])
-    r = with_cells(regions.where(F.size("ring") > 0).select("region_id", "ring"), cells_of_box(F.array_min(lat), F.array_min(lon), F.array_max(lat), F.array_max(lon), REGION_CELL))
+    box = F.struct(F.array_min(lat).alias("min_lat"), F.array_min(lon).alias("min_lon"), F.array_max(lat).alias("max_lat"), F.array_max(lon).alias("max_lon"))
+    r = regions.where(F.size("ring") > 0).select("region_id", "ring", box.alias("box"))
+    r = with_cells(r, cells_of_box(*[F.col(f"box.{c}") for c in ("min_lat", "min_lon", "max_lat", "max_lon")], REGION_CELL))
     p = points.select("query_id", F.col("lat").cast("double").alias("plat"), F.col("lon").cast("double").alias("plon"))
-    p = p.select("*", cell_of(F.col("plat"), F.col("plon"), REGION_CELL).alias("c")).select("query_id", "plat", "plon", "c.row", "c.col")
-    inside = p.join(r, ["row", "col"]).where(geo.point_in_polygon("plat", "plon", F.col("ring"), edge_bbox_shortcut))
+    p = dealt(p, "query_id").select("*", cell_of(F.col("plat"), F.col("plon"), REGION_CELL).alias("c")).select("query_id", "plat", "plon", "c.row", "c.col")
+    near = p.join(r, ["row", "col"]).where(geo.box_contains(F.col("box"), "plat", "plon"))
+    inside = near.where(geo.point_in_polygon("plat", "plon", F.col("ring"), edge_bbox_shortcut))
     return inside.groupBy("query_id").agg(F.min("region_id").alias("region_id"))
 
 
