@@ -241,15 +241,13 @@ def reverse_geocode(points: DataFrame, objects: DataFrame, point_compat: bool =
     an object without geometry is a point itself (point_compat: it projects to
     -1, -1). Result: query_id, doc_id, distance, lat, lon of the projection;
     points without candidate have no row. Ties by doc_id."""
-    p = points.select("query_id", F.col("lat").cast("double").alias("plat"), F.col("lon").cast("double").alias("plon"))
-    near = within_radius(points, objects, F.lit(OBJECT_KM + LOOKUP_KM + 0.01))
-    rows = near.select("query_id", "doc_id").join(objects.select("doc_id", F.col("lat").cast("double").alias("olat"), F.col("lon").cast("double").alias("olon"), "geom"), "doc_id").join(p, "query_id")
-    rows = rows.where(geo.boxes_overlap(geo.corner_box("plat", "plon", LOOKUP_KM), geo.corner_box("olat", "olon", OBJECT_KM)))
-    own = F.lit(-1.0) if point_compat else F.col("olat"), F.lit(-1.0) if point_compat else F.col("olon")
-    alone = F.struct(geo.haversine("plat", "plon", *own).alias("dist"), own[0].alias("lat"), own[1].alias("lon"))
-    hit = F.when(F.size("geom") > 0, geo.nearest_on_ring("plat", "plon", F.col("geom"))).otherwise(alone)
-    best = rows.select("query_id", F.struct(hit.alias("hit"), "doc_id").alias("b")).groupBy("query_id").agg(F.min(F.struct(F.col("b.hit.dist").alias("distance"), F.col("b.doc_id").alias("doc_id"), F.col("b.hit.lat").alias("lat"), F.col("b.hit.lon").alias("lon"))).alias("b"))
-    return best.select("query_id", "b.doc_id", "b.distance", "b.lat", "b.lon")
+    o = dealt(objects.select("doc_id", F.col("lat").cast("double").alias("olat"), F.col("lon").cast("double").alias("olon"), "geom"), "doc_id")
+    own = F.struct(*[(F.lit(-1.0) if point_compat else F.col(f"o{c}")).alias(c) for c in ("lat", "lon")])
+    ring = F.transform("geom", lambda q: F.struct(q["lat"].cast("double").alias("lat"), q["lon"].cast("double").alias("lon")))
+    sides = F.transform(F.sequence(F.lit(0), F.size(ring) - 1), lambda i: F.struct(F.get(ring, i).alias("a"), F.get(ring, (i + 1) % F.size(ring)).alias("b")))
+    sides = F.when(F.size("geom") > 0, sides).otherwise(F.array(F.struct(own.alias("a"), own.alias("b"))))
+    edges = o.select("doc_id", "olat", "olon", geo.corner_box("olat", "olon", OBJECT_KM).alias("obox"), F.inline(sides))
+    return nearest_edge(points, edges, LOOKUP_KM, OBJECT_KM + LOOKUP_KM + 0.01)
 
 
 def reverse_geocoded_documents(found: DataFrame, docs: DataFrame) -> DataFrame:

@@ -93,3 +93,13 @@ def test_streets_meet_few_in_a_crowd(spark, met):
     for q, lat, lon in asked:
         near = [planar(lat, lon, a, b) for _, y, x, a, b in streets if abs(y - lat) < half and abs(x - lon) < half]
         assert (q in got) == bool(near) and (not near or got[q].distance == pytest.approx(min(near), abs=2e-4))
+
+
+def test_lookup_meets_few_in_a_crowd(spark, met):
+    rows, _ = crowd(spark, 3000, 10, spread=0.03)
+    objects = spark.createDataFrame([(i, a, b, []) for i, a, b in rows], "doc_id long, lat double, lon double, geom array<struct<lat:double,lon:double>>")
+    asked, points = crowd(spark, 300, 11, "query_id", 0.03)
+    got = {x.query_id: x.doc_id for x in spatial.reverse_geocode(points, objects).collect()}
+    for q, lat, lon in asked:
+        assert got[q] == min((km(lat, lon, b, c), i) for i, b, c in rows)[1]
+    assert sum(n for n, _ in met) < 300 * 100
