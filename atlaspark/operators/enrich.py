@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from atlaspark.functions import geo
 from atlaspark.functions.text import capitalize
 from atlaspark.operators import spatial
+from atlaspark.operators.storage import checkpointed
 
 # Tags that make a way or a node searchable, tags that tell a type, classes of streets, and speeds by class.
 WAY_TAGS = [
@@ -103,19 +104,36 @@ def streets(ways: DataFrame) -> DataFrame:
 def drop_duplicate_ways(ways: DataFrame, strict: bool = False) -> DataFrame:
     """Ways (id, name, box, ...) without repetitions: same lower-cased name, and one box inside the other.
 
-    The way of least id stays; nameless ways all stay. Boxes meet by name and
-    grid cell of their centre's neighbourhood. strict folds each name's ways in
+    The way of least id stays; nameless ways all stay. Ways of one name and box
+    count as one, the first; these meet by name and the cell, of the larger box's
+    size, that holds the smaller one's corner. strict folds each name's ways in
     order of id and compares with the box kept last only; then a name's ways
     are one task's work."""
     rows = ways.withColumn("_key", F.lower("name"))
     if strict:
         kept = rows.where("_key <> ''").groupBy("_key").applyInPandas(_fold_boxes, "id long")
         return ways.join(kept.unionByName(rows.where("_key = ''").select("id")), "id", "left_semi")
-    named = rows.where("_key <> ''").select("id", "_key", "box")
-    a, b = named.alias("a"), named.alias("b")
-    inside = lambda x, y: (F.col(f"{x}.box.min_lat") >= F.col(f"{y}.box.min_lat")) & (F.col(f"{x}.box.max_lat") <= F.col(f"{y}.box.max_lat")) & (F.col(f"{x}.box.min_lon") >= F.col(f"{y}.box.min_lon")) & (F.col(f"{x}.box.max_lon") <= F.col(f"{y}.box.max_lon"))
-    again = a.join(b, (F.col("a._key") == F.col("b._key")) & (F.col("b.id") < F.col("a.id")) & (inside("a", "b") | inside("b", "a")), "left_semi")
-    return ways.join(again.select("id"), "id", "left_anti")
+    box = ("min_lat", "min_lon", "max_lat", "max_lon")
+    full = F.coalesce(F.col("_key") != "", F.lit(False))
+    for c in box:
+        full = full & F.col(f"box.{c}").isNotNull()
+    rows = rows.withColumn("_full", full)
+    first = rows.where("_full").select("id", "_key", *[F.col(f"box.{c}").cast("double").alias(c) for c in box]).groupBy("_key", *box).agg(F.min("id").alias("id"))
+    first = checkpointed(first.withColumn("k", F.ceil(F.log2(F.greatest(F.col("max_lat") - F.col("min_lat"), F.col("max_lon") - F.col("min_lon"), F.lit(1e-4)))).cast("int")))
+    sizes = [r[0] for r in first.select("k").distinct().collect()]  # some thirty at most
+    cell = lambda k: F.least(F.lit(90.0), F.pow(F.lit(2.0), F.col(k)))
+    outer = spatial.with_cells(first, spatial.cells_of_box(*[F.col(c) for c in box], cell("k")))
+    inner = first.select("*", F.explode(F.filter(F.array(*map(F.lit, sizes)).cast("array<int>"), lambda k: k >= F.col("k"))).alias("of"))
+    inner = inner.withColumn("_c", spatial.cell_of(F.col("min_lat"), F.col("min_lon"), cell("of"))).select("id", "_key", *box, F.col("of").alias("k"), "_c.row", "_c.col")
+    held = (F.col("i.min_lat") >= F.col("o.min_lat")) & (F.col("i.max_lat") <= F.col("o.max_lat")) & (F.col("i.min_lon") >= F.col("o.min_lon")) & (F.col("i.max_lon") <= F.col("o.max_lon"))
+    for key in ("_key", "k", "row", "col"):
+        held = held & (F.col(f"i.{key}") == F.col(f"o.{key}"))
+    inner, outer = inner.alias("i"), outer.alias("o")
+    again = inner.join(outer, held & (F.col("o.id") < F.col("i.id")), "left_semi").select("id")
+    again = again.unionByName(outer.join(inner, held & (F.col("i.id") < F.col("o.id")), "left_semi").select("id"))
+    kept = first.select("id").join(again, "id", "left_anti")
+    one = rows.where("_full").join(kept, "id", "left_semi")
+    return rows.where("not _full").unionByName(one).select(*ways.columns)
 
 
 def _fold_boxes(rows):
