@@ -177,4 +177,10 @@ def line_crosses_circle(lat1, lon1, lat2, lon2, center_lat, center_lon, radius_k
             ).otherwise(False),
         )
 
-    return F.coalesce(let(parts, solve), F.lit(False))
+    # A segment on one side of the circle's bounds does not meet it; this costs less than the roots.
+    tall = F.degrees(_c(radius_km) * 1000 / EARTH_M) * (1 + 1e-6) + 1e-9
+    wide = F.try_divide(tall, F.cos(c))
+    apart = F.lit(False)
+    for p, q, at, half in ((_c(lat1), _c(lat2), _c(center_lat), tall), (_c(lon1), _c(lon2), _c(center_lon), wide)):
+        apart = apart | ((p > at + half) & (q > at + half)) | ((p < at - half) & (q < at - half))
+    return F.when(apart, False).otherwise(F.coalesce(let(parts, solve), F.lit(False)))

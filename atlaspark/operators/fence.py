@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from atlaspark.functions import geo
 from atlaspark.operators.search import BadParameter
+from atlaspark.operators.spatial import dealt
 
 FENCE_SCHEMA = "fence_name string, key string, lat double, lon double, radius_km double"
 NAME = re.compile(r"^[A-Za-z0-9_]+$")
@@ -102,9 +103,13 @@ def fence_steps(steps: DataFrame, fences: DataFrame, max_fences: int | None = MA
     cross a circle; otherwise it is outside."""
     circle = F.struct("key", F.col("lat").alias("flat"), F.col("lon").alias("flon"), "radius_km")
     f = fences.groupBy("fence_name").agg(F.array_sort(F.collect_list(circle)).alias("circles"))
+    steps = dealt(steps, "point_id", "ts", "seq")
     measured = F.transform("circles", lambda c: F.struct(geo.haversine("lat", "lon", c["flat"], c["flon"]).alias("distance"), *[c[x].alias(x) for x in ("key", "flat", "flon", "radius_km")]))
-    near = F.array_sort(measured)
-    rows = steps.join(f, "fence_name").select(*steps.columns, F.inline(F.slice(near, 1, max_fences) if max_fences is not None else near))
+    rows = steps.join(f, "fence_name")
+    if max_fences is not None:
+        rows = rows.select(*steps.columns, F.inline(F.slice(F.array_sort(measured), 1, max_fences)))
+    else:  # no order is asked for
+        rows = rows.select(*steps.columns, F.inline("circles")).withColumn("distance", geo.haversine("lat", "lon", "flat", "flon"))
     seen = F.col("prev_lat").isNotNull()
     from_lat, from_lon = F.coalesce("prev_lat", F.lit(NOWHERE)), F.coalesce("prev_lon", F.lit(NOWHERE))
     was = seen & geo.circle_contains(from_lat, from_lon, "flat", "flon", "radius_km")

@@ -73,3 +73,11 @@ def test_stream_equals_batch(spark, tmp_path):
     q = stream.start(source, circle, lambda df, _: found.extend(map(tuple, df.collect())), str(tmp_path / "check"))
     q.awaitTermination(120)
     assert sorted(found) == sorted(map(tuple, fence.fence_transitions(rows, circle).collect()))
+
+
+def test_steps_are_dealt_out(spark):
+    circles = spark.createDataFrame([("f", f"c{n}", 0.0, 0.01 * n, 0.2) for n in range(5)], fence.FENCE_SCHEMA)
+    found = fence.fence_transitions(moves(spark, *[(0.0, 0.001 * n) for n in range(100)]).coalesce(1), circles, None)
+    assert found.select(F.spark_partition_id()).distinct().count() > 1
+    first = fence.fence_transitions(moves(spark, *[(0.0, 0.001 * n) for n in range(100)]), circles, 5)
+    assert found.exceptAll(first).isEmpty() and found.count() == first.count()
