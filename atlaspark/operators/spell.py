@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from atlaspark.functions.edits import START_CHAR, characters, edit_of
 from atlaspark.operators.lm import sequence_log_probability
-from atlaspark.operators.storage import checkpointed
+from atlaspark.operators.storage import broadcast_if_small, checkpointed
 
 NO_EDIT = 0.9  # chance that a word is as it was meant
 
@@ -74,9 +74,9 @@ def fuzzy_candidates(words: DataFrame, terms: DataFrame, edits: int) -> DataFram
             for o in range(-edits, edits + 1):
                 good = (n + d > 0) & (start + o >= 0) & (start + o + part <= n)
                 asked.append(F.when(good, F.struct((n + d).alias("len"), F.lit(i).alias("piece"), F.substring(F.col("word"), start + o + 1, part).alias("part"))))
-    probes = words.select("word", F.inline(F.array_distinct(F.array_compact(F.array(*asked)))))
-    met = probes.join(index, ["len", "piece", "part"]).select("word", "term").distinct()
-    return met.withColumn("distance", F.levenshtein("word", "term", edits)).where("distance >= 0")
+    probes = broadcast_if_small(words.select("word", F.inline(F.array_distinct(F.array_compact(F.array(*asked))))))
+    met = probes.join(index, ["len", "piece", "part"]).select("word", "term", F.levenshtein("word", "term", edits).alias("distance"))
+    return met.where("distance >= 0").distinct()  # far more pairs meet than are near, so these are not sent on
 
 
 def prefix_candidates(words: DataFrame, terms: DataFrame) -> DataFrame:

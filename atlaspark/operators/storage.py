@@ -34,8 +34,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def built_once(spark: SparkSession, name: str, inputs: list[str], build: Callable[[str], None]) -> str:
-    """The folder of an artefact that build(path) writes, built anew only for other inputs: other paths, lengths or times of change."""
+def built_once(spark: SparkSession, name: str, inputs: list[str], build: Callable[[str], None] | None) -> str | None:
+    """The folder of an artefact that build(path) writes, built anew only for other inputs: other paths, lengths or times of change. Without build, None if it isn't there."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
 
     def state(path: str) -> tuple:
@@ -44,11 +44,11 @@ def built_once(spark: SparkSession, name: str, inputs: list[str], build: Callabl
         return path, fs.getFileStatus(p).getModificationTime(), fs.getContentSummary(p).getLength()
 
     key = (spark.sparkContext.applicationId, name, *map(state, inputs))
-    if key not in _BUILT:
+    if key not in _BUILT and build is not None:
         path = new_path(spark, name)
         build(path)
         _BUILT[key] = path
-    return _BUILT[key]
+    return _BUILT.get(key)
 
 
 def broadcast_if_small(df: DataFrame, rows: int = 500_000) -> DataFrame:
