@@ -84,7 +84,7 @@ def prefix_candidates(words: DataFrame, terms: DataFrame) -> DataFrame:
     words, terms = words.select("word").where("word <> ''").distinct(), terms.select("term").distinct()
     lengths = [r[0] for r in words.select(F.length("word")).distinct().collect()]  # at most as many as the longest word has characters
     starts = F.array_compact(F.array(*[F.when(F.length("term") >= n, F.substring("term", 1, n)) for n in sorted(lengths)])) if lengths else F.array().cast("array<string>")
-    return terms.select("term", F.explode(starts).alias("word")).join(words, "word").select("word", "term")
+    return terms.select("term", F.explode(starts).alias("word")).join(broadcast_if_small(words), "word").select("word", "term")
 
 
 def query_candidates(choices: DataFrame, max_candidates: int | None = None) -> DataFrame:
