@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from atlaspark.functions import geo
 from atlaspark.operators.search import BadParameter
-from atlaspark.operators.spatial import dealt
+from atlaspark.operators.storage import dealt
 
 FENCE_SCHEMA = "fence_name string, key string, lat double, lon double, radius_km double"
 NAME = re.compile(r"^[A-Za-z0-9_]+$")

@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from atlaspark.functions.text import tokens
 from atlaspark.operators.index import Index
-from atlaspark.operators.storage import broadcast_if_small
+from atlaspark.operators.storage import broadcast_if_small, dealt
 
 # Weights and saturation of the three rankers.
+WANTED = 500_000  # words of queries that are broadcast
 K1, B, DELTA = 1.2, 0.98, 1.0
 K1_FIELD, NAME_WEIGHT, ADDRESS_WEIGHT, NAME_B = 10.0, 20.0, 1.0, 0.95
 
@@ -24,12 +25,17 @@ def query_terms(queries: DataFrame, keep_digits: bool = False) -> DataFrame:
 
 
 def matched(index: Index, terms: DataFrame) -> DataFrame:
-    """query_id, term, doc_id, qn (occurrences in the query), df, tf and len by field, and the statistics."""
-    wanted = terms.groupBy("query_id", "term").agg(F.count("*").alias("qn"))
+    """query_id, term, doc_id, qn (occurrences in the query), df, tf and len by field, and the statistics.
+
+    Postings are dealt by document, once; where the queries' terms are few
+    enough to be broadcast, rows stay where they are from there on, so scores
+    are added up and pages begun without sending a row for each query and
+    document."""
+    wanted = broadcast_if_small(terms.groupBy("query_id", "term").agg(F.count("*").alias("qn")), WANTED)
     of = lambda c, f: F.coalesce(F.max(F.when(F.col("field") == f, F.col(c))), F.lit(0))
     rows = index.of_terms(broadcast_if_small(wanted.select("term").distinct()))
-    rows = rows.groupBy("term", "doc_id").agg(*[of(c, f).alias(f"{c}_{f}") for c in ("tf", "len") for f in ("name", "address")])
-    df = rows.groupBy("term").agg(F.count("*").alias("df"))
+    rows = dealt(rows, "doc_id").groupBy("term", "doc_id").agg(*[of(c, f).alias(f"{c}_{f}") for c in ("tf", "len") for f in ("name", "address")])
+    df = broadcast_if_small(rows.groupBy("term").agg(F.count("*").alias("df")), WANTED)
     return rows.join(df, "term").join(wanted, "term").crossJoin(F.broadcast(index.stats.limit(1)))
 
 

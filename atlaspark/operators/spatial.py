@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from atlaspark.functions import geo
 from atlaspark.operators.search import validate
-from atlaspark.operators.storage import checkpointed
+from atlaspark.operators.storage import checkpointed, dealt
 
 CELL = 0.05  # degrees, about 5.6 km
 KM_PER_DEGREE = geo.EARTH_KM * math.pi / 180
@@ -66,11 +66,6 @@ def with_cells(df: DataFrame, cells: Column) -> DataFrame:
     return df.select("*", F.inline(cells))
 
 
-def dealt(df: DataFrame, *columns: str) -> DataFrame:
-    """df in spark.sql.shuffle.partitions parts by the columns; what a part costs does not follow from its bytes, so none are joined."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
-
-
 def met_by_cell(a: DataFrame, b: DataFrame) -> DataFrame:
     return dealt(a, "row", "col").join(dealt(b, "row", "col"), ["row", "col"])
 
