@@ -13,6 +13,7 @@ from atlaspark.functions.text import UNKNOWN, tokens, windows
 from atlaspark.operators.storage import broadcast_if_small
 
 ORDER, BACKOFF = 4, 0.4
+PIECE = 16 << 20  # characters of text whose n-grams a task counts before they are sent
 
 
 def corpus(docs: DataFrame, keep_digits: bool = False) -> DataFrame:
@@ -20,6 +21,12 @@ def corpus(docs: DataFrame, keep_digits: bool = False) -> DataFrame:
     return docs.select(F.col("doc_id").alias("id"), tokens(F.concat_ws(" ", "name", "address"), keep_digits).alias("words"))
 
 
+def in_pieces(docs: DataFrame, chars: int = PIECE) -> DataFrame:
+    """docs dealt out so that a task sees about so many characters of name and address, however many a file's parts hold; so what it holds of n-grams is bounded."""
+    total = docs.agg(F.sum(F.length(F.coalesce("name", F.lit(""))) + F.length(F.coalesce("address", F.lit(""))))).first()[0] or 0
+    return docs.repartition(max(1, -(-total // chars)), "doc_id")
+
+
 def vocabulary(sequences: DataFrame, min_count: int = 1) -> DataFrame:
     return sequences.select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("cnt")).where(F.col("cnt") >= min_count)
 
@@ -35,6 +42,8 @@ def ngram_counts(sequences: DataFrame, order: int = ORDER, sizes: list[int] | No
     """Counts of all n-grams up to `order`, or of the sizes given, or of those in only (n, gram). One pass over the sequences serves all sizes."""
     runs = sequences.select(F.inline(windows(F.col("words"), order)))
     tail = lambda n: F.concat_ws(" ", *[f"w{k}" for k in range(order - n + 1, order + 1)])
+    if sizes is not None and len(sizes) == 1 and only is None:  # rows need not carry an n that is the same in all of them
+        return runs.select(tail(sizes[0]).alias("gram")).groupBy("gram").agg(F.count("*").alias("cnt")).select(F.lit(sizes[0]).alias("n"), "gram", "cnt")
     grams = F.array(*[F.struct(F.lit(n).alias("n"), tail(n).alias("gram")) for n in sizes or range(1, order + 1)])
     rows = runs.select(F.inline(grams))
     if only is not None:
